@@ -98,16 +98,15 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shop_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tag_id, quote_id, shop_price, condition``."""
-    size = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("suppliers"))
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     order = F.col("o_orderkey")
     words = {"1-URGENT": "new", "2-HIGH": "mint", "3-MEDIUM": "normal", "5-LOW": "worn"}
     condition = F.lit("unknown")
     for priority, word in words.items():
         condition = F.when(F.col("o_orderpriority") == priority, F.lit(word)).otherwise(condition)
-    # one-row table: the broadcast holds a single number
-    return table(spark, sf_dir, "orders").join(F.broadcast(size)).select(
+    return table(spark, sf_dir, "orders").select(
         order.alias("tag_id"),
-        (order % F.col("suppliers")).alias("quote_id"),
+        (order % suppliers).alias("quote_id"),
         F.when(order % 101 == 0, F.lit(0)).otherwise(F.floor(F.col("o_totalprice") / 3))
         .cast("bigint").alias("shop_price"),
         condition.alias("condition"),
@@ -154,3 +153,80 @@ def ocr_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((event % 4) * 90).alias("degrees"),
         (F.floor("value").cast("bigint") % 100).alias("confidence"),
     )
+
+
+PAGE = 20
+
+
+def _rendered(form: str) -> list:
+    """The lines a listing takes up on a page of the given form."""
+    title, price = F.col("title"), F.col("price").cast("string")
+    asked = F.floor(F.col("price") * 1.6).cast("bigint").cast("string")
+    forms = {
+        "auction": [title, F.concat(F.lit("即決 "), asked, F.lit("円")), F.concat(F.lit("落札 "), price, F.lit("円")),
+                    F.lit("2026年8月20日")],
+        "market": [F.concat(F.lit("¥"), price), title, F.lit("送料込み"), F.lit("SOLD")],
+        "inline": [F.concat(title, F.lit(" "), price, F.lit("円 2026年9月1日"))],
+        "csv": [F.concat(title, F.lit(","), price)],
+        "tsv": [F.concat(title, F.lit("\t"), price, F.lit("円"))],
+        "bare": [price],
+    }
+    return forms[form]
+
+
+def pastes(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """``quote_id, source, page, text``: listings rendered as pages of 20."""
+    page = F.floor(F.col("pos") / PAGE).alias("page")
+    lines = F.concat_ws("\n", *_rendered(form)).alias("line")
+    # a page holds 20 listings
+    return (
+        listings(spark, sf_dir)
+        .select("quote_id", "source", page, "pos", lines)
+        .groupBy("quote_id", "source", "page")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+        .select("quote_id", "source", "page", F.array_join(F.col("rows.line"), "\n").alias("text"))
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tag_id, payload``: tag reading answers, some cut short, some blocked."""
+    key = F.col("p_partkey")
+    tag = F.to_json(F.struct(
+        F.concat(F.lit(" "), F.col("p_brand"), F.lit("\n"), F.col("p_name"), F.lit(" ")).alias("text"),
+        F.when(key % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("p_brand"))).alias("brand"),
+        F.array(F.concat(F.lit("MD"), F.lpad(key.cast("string"), 5, "0")), F.lit(" ")).alias("model_numbers"),
+        F.array(F.concat(F.col("p_size").cast("string"), F.lit(" "))).alias("sizes"),
+        F.array("p_type").alias("materials"),
+        F.when(key % 2 == 0, F.lit("JAPAN")).otherwise(F.lit("")).alias("made_in"),
+    ))
+    answer = F.when(key % 10 == 0, F.concat(F.lit("{ "), F.col("p_name"))).otherwise(tag)
+    cut = F.length("answer") - 3
+    parts = F.array(
+        F.struct(F.substr("answer", F.lit(1), cut).alias("text")), F.struct(F.substr("answer", cut + 1).alias("text"))
+    )
+    return table(spark, sf_dir, "part").select(key.alias("tag_id"), answer.alias("answer")).select(
+        "tag_id",
+        F.to_json(F.struct(
+            F.when(F.col("tag_id") % 25 != 1, F.array(F.struct(F.struct(parts.alias("parts")).alias("content"))))
+            .alias("candidates"),
+            F.when(F.col("tag_id") % 25 == 1, F.struct(F.lit("SAFETY").alias("blockReason"))).alias("promptFeedback"),
+        )).alias("payload"),
+    )
+
+
+def record_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quote_id, query, created_at, tag_text, groups``: what is saved along with a quote."""
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
+    dated = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % suppliers).alias("quote_id")).agg(
+        F.max("o_orderdate").alias("day"))
+    # a record holds its own pasted pages by definition
+    groups = pastes(spark, sf_dir, "market").groupBy("quote_id").agg(
+        F.collect_list(F.struct(F.col("source").alias("key"), F.col("source").alias("label"), "text")).alias("groups"))
+    number = F.lpad(F.col("quote_id").cast("string"), 5, "0")
+    return dated.join(groups, "quote_id").select(
+        "quote_id",
+        F.concat(F.lit("widget "), F.col("quote_id").cast("string")).alias("query"),
+        F.timestamp_seconds(F.unix_timestamp("day") + F.col("quote_id")).alias("created_at"),
+        F.when(F.col("quote_id") % 2 == 0, F.concat(F.lit("MD"), number)).otherwise(F.lit("")).alias("tag_text"),
+        "groups",
+    )

@@ -10,8 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Blanks that NFKC leaves in place but that still count as white space.
-BLANK = r"[\s\u1680\u2028\u2029\uFEFF]"
-
 BLANK_LETTERS = " \t\n\x0b\f\r\u1680\u2028\u2029\ufeff"
 
 # Symbols that separate words when two spellings are compared.
@@ -21,9 +19,13 @@ FOLD_SYMBOLS = "・･,、。／/|｜:：;；()（）[]【】{}\"'`~^*_＋+"
 MEANINGFUL = r"[0-9A-Za-z\u3040-\u30FF\u4E00-\u9FFF]"
 JAPANESE = r"[\u3040-\u30FF\u3400-\u9FFFー々]"
 
-# Word boundary over ASCII letters only; Java's \b would count kana as word letters.
-WORD_START = r"(?<![A-Za-z0-9_])"
-WORD_END = r"(?![A-Za-z0-9_])"
+# Word boundary over ASCII letters; Java's own boundary also counts kana as word letters.
+ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """A pattern whose word boundaries are ASCII ones."""
+    return pattern.replace(r"\b", ASCII_BOUNDARY)
 
 
 def nfkc(text: Column) -> Column:
@@ -42,13 +44,24 @@ def nfkc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of blank (Spark's ``trim`` removes spaces only)."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    """Trim every kind of blank from NFKC text (Spark's ``trim`` alone removes spaces only)."""
+    return F.btrim(text, F.lit(BLANK_LETTERS))
+
+
+def strip_raw(text: Column) -> Column:
+    """Trim text that has not been normalised: all Unicode separators count as blanks."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\uFEFF]+|[\s\p{Z}\uFEFF]+$", "")
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of blanks become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    """Runs of blanks become one space; ends are trimmed. The regex runs only where needed."""
+    spaced = F.trim(F.translate(text, BLANK_LETTERS, " " * len(BLANK_LETTERS)))
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, the measure the length thresholds are stated in."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def fold_normal(text: Column) -> Column:

@@ -207,13 +207,16 @@ def source_label(source: Column, sources: list[tuple]) -> Column:
     return label
 
 
-def quotes(settled: DataFrame, sources: list[tuple] = dims.SOURCES) -> DataFrame:
+def quotes(
+    settled: DataFrame, sources: list[tuple] = dims.SOURCES, levels: tuple[float, ...] = ()
+) -> DataFrame:
     """One row per quote: basis, pooled statistics and the blend of its sources.
 
     Computed in two nested groupings over the same partitioning. A pooled percentile is the
-    smallest price past a rank, so the smallest over sources of the per-source smallest.
+    smallest price past a rank, so the smallest over sources of the per-source smallest. ``levels``
+    adds further pooled percentiles, unrounded, as ``level_<percent>``.
     """
-    pool = [(q, side) for q in (0.25, 0.5, 0.75) for side in ("lo", "hi")]
+    pool = [(q, side) for q in sorted({0.25, 0.5, 0.75, *levels}) for side in ("lo", "hi")]
     kept, n, price = F.col("kept"), F.col("n"), F.col("price")
 
     def at(q: float, side: str) -> Column:
@@ -224,7 +227,7 @@ def quotes(settled: DataFrame, sources: list[tuple] = dims.SOURCES) -> DataFrame
     pool_mean = F.col("pool_amount") / F.nullif(F.col("pool_total"), F.lit(0))
     per_source = settled.groupBy("quote_id", "source").agg(
         *_stats("", "running", "total", "amount"),
-        *[at(q, side).alias(f"{side}{int(q * 100)}") for q, side in pool],
+        *[at(q, side).alias(f"{side}{round(q * 100)}") for q, side in pool],
         F.sum(F.when(kept, n * F.pow(price - pool_mean, 2))).alias("pool_squares"),
         F.max(pool_mean).alias("pool_mean"),
         F.max("pool_total").alias("pool_total"),
@@ -237,7 +240,7 @@ def quotes(settled: DataFrame, sources: list[tuple] = dims.SOURCES) -> DataFrame
         F.max("pool_total").alias("combined_count"),
         F.min("min").alias("combined_min"),
         F.max("max").alias("combined_max"),
-        *[F.min(f"{side}{int(q * 100)}").cast("double").alias(f"{side}{int(q * 100)}") for q, side in pool],
+        *[F.min(f"{side}{round(q * 100)}").cast("double").alias(f"{side}{round(q * 100)}") for q, side in pool],
         F.max("pool_mean").alias("pool_mean"),
         F.sum("pool_squares").alias("pool_squares"),
         round_half_up(F.avg(F.when(used, F.col("median")))).alias("equal_weight_median"),
@@ -247,11 +250,14 @@ def quotes(settled: DataFrame, sources: list[tuple] = dims.SOURCES) -> DataFrame
         .alias("sources_used"),
     )
 
-    def pool_percentile(q: float) -> Column:
-        lo, hi = F.col(f"lo{int(q * 100)}"), F.col(f"hi{int(q * 100)}")
+    def exact_percentile(q: float) -> Column:
+        lo, hi = F.col(f"lo{round(q * 100)}"), F.col(f"hi{round(q * 100)}")
         position = (F.col("combined_count") - 1) * F.lit(q)
         between = lo * (F.ceil(position) - position) + hi * (position - F.floor(position))
-        return round_half_up(F.when(lo == hi, lo).otherwise(between))
+        return F.when(lo == hi, lo).otherwise(between)
+
+    def pool_percentile(q: float) -> Column:
+        return round_half_up(exact_percentile(q))
 
     size = F.col("combined_count")
     model, brand, loose = F.col("n_model"), F.col("n_brand"), F.col("n_loose")
@@ -276,4 +282,5 @@ def quotes(settled: DataFrame, sources: list[tuple] = dims.SOURCES) -> DataFrame
             F.when(size == 1, F.lit(0.0)).when(size > 1, F.sqrt(F.col("pool_squares") / (size - 1)))
         ).alias("combined_stdev"),
         (pool_percentile(0.75) - pool_percentile(0.25)).alias("combined_iqr"),
+        *[exact_percentile(q).alias(f"level_{round(q * 100)}") for q in levels],
     )

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from pricetide import dims
 from pricetide.functions import text as tx
-from pricetide.operators import clean, histogram, match, stats, views, warnings
+from pricetide.operators import clean, histogram, match, stats, verdict, views, warnings
+from pricetide.session import cut_lineage
 
 
 def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
@@ -78,7 +79,8 @@ class QuoteJob:
     """``listings(quote_id, source, pos, title, price)`` with options, targets and input groups.
 
     ``groups(quote_id, source, error)`` is optional: one row per pasted source, so that sources
-    without a single listing still appear.
+    without a single listing still appear. ``keep_counts`` checkpoints the price counts: worth it
+    where several results are taken from one job, since the listings are then classified once.
     """
 
     listings: DataFrame
@@ -86,6 +88,7 @@ class QuoteJob:
     targets: DataFrame | None = None
     groups: DataFrame | None = None
     sources: list | None = None
+    keep_counts: bool = False
 
     @property
     def source_list(self) -> list:
@@ -105,17 +108,19 @@ class QuoteJob:
 
     @cached_property
     def counted(self) -> DataFrame:
-        if self.groups is None:
-            return stats.price_counts(self.classified)
-        columns = ["quote_id", "source", "title", "price", "is_listing"]
-        rows = self.listings.withColumn("is_listing", F.lit(True)).select(*columns)
-        empty = self.groups.select(
-            "quote_id", "source",
-            F.lit(None).cast("string").alias("title"),
-            F.lit(None).cast("bigint").alias("price"),
-            F.lit(False).alias("is_listing"),
-        )
-        return stats.price_counts(classify(rows.unionByName(empty), self.per_quote))
+        classified = self.classified
+        if self.groups is not None:
+            columns = ["quote_id", "source", "title", "price", "is_listing"]
+            rows = self.listings.withColumn("is_listing", F.lit(True)).select(*columns)
+            empty = self.groups.select(
+                "quote_id", "source",
+                F.lit(None).cast("string").alias("title"),
+                F.lit(None).cast("bigint").alias("price"),
+                F.lit(False).alias("is_listing"),
+            )
+            classified = classify(rows.unionByName(empty), self.per_quote)
+        counts = stats.price_counts(classified)
+        return cut_lineage(counts) if self.keep_counts else counts
 
     @cached_property
     def settled(self) -> DataFrame:
@@ -153,3 +158,8 @@ class QuoteJob:
     @cached_property
     def cards(self) -> DataFrame:
         return views.source_cards(self.source_stats, self.groups, self.source_list)
+
+    def verdicts(self, tags: DataFrame) -> DataFrame:
+        """Shop tags against these quotes; best with ``keep_counts``, as the counts are read twice."""
+        levelled = stats.quotes(self.settled, self.source_list, verdict.LEVELS)
+        return verdict.judge(tags, stats.kept_prices(self.settled), levelled)
