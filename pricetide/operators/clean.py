@@ -65,6 +65,8 @@ def complete_options(options: DataFrame) -> DataFrame:
 
 def split_by_validity(options: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Options that can be used, and (quote_id, reason) of those whose bounds cross."""
+    if not {"price_min", "price_max"} <= set(options.columns):
+        return options, options.limit(0).select("quote_id", F.lit(dims.BOUNDS_REJECTED).alias("reason"))
     crossed = F.coalesce(F.col("price_min") > F.col("price_max"), F.lit(False))
     rejects = options.filter(crossed).select("quote_id", F.lit(dims.BOUNDS_REJECTED).alias("reason"))
     return options.filter(~crossed), rejects

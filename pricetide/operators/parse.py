@@ -6,16 +6,12 @@ others read is put into an array of structs first, so that it is computed once p
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricetide import dims
 from pricetide.functions import text as tx
+from pricetide.functions.pairing import pick_titles
 
 REPORT_COLUMNS = ["mode", "lines", "prices_found", "untitled", "ignored_samples", "error"]
 
@@ -112,50 +108,6 @@ def flow_lines(lines: Column, has_currency: Column) -> Column:
     return F.transform(found, judged)
 
 
-def nearest_titles(prices: list[int], titles: list[int]) -> list[int]:
-    """Which title each price takes: the nearest free one, the earlier of two equally near.
-
-    Line numbers are ascending. Taken titles are skipped by chained pointers on either side, so a
-    page of n lines costs about n steps. Once all titles are taken, the nearest is taken again.
-    """
-    size = len(titles)
-    if not size:
-        return [-1] * len(prices)
-    before = list(range(size + 1))  # before[k + 1] leads to the nearest free title at or before k, plus 1
-    after = list(range(size + 1))   # after[k] leads to the nearest free title at or after k
-
-    def follow(links: list[int], k: int) -> int:
-        end = k
-        while links[end] != end:
-            end = links[end]
-        while links[k] != end:
-            links[k], k = end, links[k]
-        return end
-
-    chosen, free = [], size
-    for line in prices:
-        place = bisect_right(titles, line) - 1
-        if free:
-            left, right = follow(before, place + 1) - 1, follow(after, place + 1)
-        else:
-            left, right = place, place + 1
-        if right >= size or (left >= 0 and line - titles[left] <= titles[right] - line):
-            pick = left
-        else:
-            pick = right
-        if free:
-            before[pick + 1], after[pick] = pick, pick + 1
-            free -= 1
-        chosen.append(pick)
-    return chosen
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _pair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for prices, titles in batches:
-        yield pd.Series([nearest_titles(list(p), list(t)) for p, t in zip(prices, titles)])
-
-
 def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``entries ARRAY<STRUCT<title, price>>`` and the parse report to each paste.
 
@@ -180,7 +132,7 @@ def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
         F.slice(F.transform(F.filter("flow", lambda f: f["ignored"].isNotNull()), lambda f: f["ignored"]),
                 1, dims.IGNORED_SAMPLES).alias("ignored_samples"),
     )
-    paired = staged.withColumn("picks", _pair(F.col("prices.i"), F.col("titles.i")))
+    paired = staged.withColumn("picks", pick_titles(F.col("prices.i"), F.col("titles.i")))
     flow_rows = F.transform(F.col("prices"), lambda p, k: F.struct(
         F.coalesce(F.get(F.col("titles.title"), F.get(F.col("picks"), k)), F.lit("")).alias("title"),
         p["price"].alias("price"),
