@@ -475,8 +475,10 @@ PAGED = f"WITH {LISTINGS}"
 def _roundtrip(form: str) -> str:
     title = "'' AS title" if form == "bare" else "title"
     readable = " WHERE price >= 300" if form in ("auction", "inline") else ""
-    # a single comma-separated line is too little to be taken for a table
-    alone = " QUALIFY count(*) OVER (PARTITION BY quote_id, source, pos // 20) > 1" if form == "csv" else ""
+    # a page is a table when enough lines hold a comma that does not look like one grouping thousands
+    alone = """ QUALIFY sum(CASE WHEN regexp_matches(title, '[0-9]$') AND price BETWEEN 100 AND 999 THEN 0 ELSE 1 END)
+        OVER (PARTITION BY quote_id, source, pos // 20)
+      >= greatest(2, ceil(count(*) OVER (PARTITION BY quote_id, source, pos // 20) / 2))""" if form == "csv" else ""
     return f"{PAGED} SELECT quote_id, source, pos // 20 AS page, {title}, price FROM fx_listings{readable}{alone}"
 
 

@@ -63,6 +63,9 @@ def _pick_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def pick_titles(price_lines, title_lines):
-    """``ARRAY<INT>``: for each price line the place of its title in ``title_lines``, or -1."""
-    return F.pandas_udf(_pick_batches, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR_ITER)(
-        price_lines, title_lines)
+    """``ARRAY<INT>``: for each price line the place of its title in ``title_lines``, or -1.
+
+    Marked non-deterministic so that no filter on its result is pushed below it and runs it again.
+    """
+    pick = F.pandas_udf(_pick_batches, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR_ITER)
+    return pick.asNondeterministic()(price_lines, title_lines)

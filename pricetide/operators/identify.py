@@ -194,7 +194,8 @@ def search_queries(identified: DataFrame, barcode: str | None = None, note: str
     wanted = F.filter(F.array_compact(candidates), lambda c: c["query"] != "")
     unique = tx.bound(wanted, lambda all_: F.filter(
         all_, lambda c, i: F.array_position(all_["query"], c["query"]) == i + 1))
-    return base.select("tag_id", F.posexplode(unique).alias("place", "q")).select(
+    listed = base.select("tag_id", F.posexplode_outer(unique).alias("place", "q")).filter("q is not null")
+    return listed.select(
         "tag_id", (F.col("place") + 1).alias("rank"), "q.query", "q.label"
     )
 

@@ -153,9 +153,13 @@ def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
 
 
 def entries(parsed: DataFrame) -> DataFrame:
-    """One row per listing with its ``pos`` in the paste."""
+    """One row per listing with its ``pos`` in the paste.
+
+    The outer form of the explode, because the plain one makes Spark add a size filter, push it
+    below the parser and so parse every paste twice.
+    """
     keys = [c for c in parsed.columns if c not in REPORT_COLUMNS + ["entries"]]
-    return parsed.select(*keys, F.posexplode("entries").alias("pos", "entry")).select(
+    return parsed.select(*keys, F.posexplode_outer("entries").alias("pos", "entry")).filter("entry is not null").select(
         *keys, F.col("pos").cast("bigint").alias("pos"), "entry.title", "entry.price"
     )
 
