@@ -4,11 +4,9 @@ A greedy choice where each pick depends on all before it. Only line numbers go t
 batches; texts stay in the JVM.
 """
 
-from __future__ import annotations
-
 import sys
 from bisect import bisect_right
-from collections.abc import Iterator
+from typing import Iterator, Tuple
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -57,7 +55,7 @@ def nearest_titles(prices: list[int], titles: list[int]) -> list[int]:
     return chosen
 
 
-def _pick_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _pick_batches(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for prices, titles in batches:
         yield pd.Series([nearest_titles(list(p), list(t)) for p, t in zip(prices, titles)])
 
@@ -67,5 +65,5 @@ def pick_titles(price_lines, title_lines):
 
     Marked non-deterministic so that no filter on its result is pushed below it and runs it again.
     """
-    pick = F.pandas_udf(_pick_batches, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR_ITER)
+    pick = F.pandas_udf(_pick_batches, T.ArrayType(T.IntegerType()))
     return pick.asNondeterministic()(price_lines, title_lines)
