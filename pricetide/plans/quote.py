@@ -34,8 +34,11 @@ def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
             F.array().cast("array<int>").alias("model_lengths"),
             match.empty_words().alias("aliases"),
         )
-    return completed.join(match.complete_targets(targets), "quote_id", "left").select(
-        *[c for c in completed.columns],
+    # Joined on a wrapped key, so that the result is not yet partitioned by quote_id: AQE splits a
+    # skewed partition of the listings join only where both of its sides come from a shuffle.
+    ready = match.complete_targets(targets).withColumn("key", F.struct("quote_id")).drop("quote_id")
+    return completed.withColumn("key", F.struct("quote_id")).join(ready, "key", "left").select(
+        *completed.columns,
         F.coalesce("has_target", F.lit(False)).alias("has_target"),
         F.coalesce("models", match.empty_words()).alias("models"),
         F.coalesce("model_lengths", F.array().cast("array<int>")).alias("model_lengths"),
