@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 from operator import or_
@@ -15,17 +16,28 @@ BLANK_LETTERS = " \t\n\x0b\f\r\u1680\u2028\u2029\ufeff"
 # Symbols that separate words when two spellings are compared.
 FOLD_SYMBOLS = "・･,、。／/|｜:：;；()（）[]【】{}\"'`~^*_＋+"
 
+FOLDED_TO_SPACE = "[" + re.escape(FOLD_SYMBOLS) + BLANK_LETTERS + "]+"
+
 # Fixed patterns: letters and digits that carry content, and Japanese letters.
-MEANINGFUL = r"[0-9A-Za-z\u3040-\u30FF\u4E00-\u9FFF]"
+NOT_MEANINGFUL = r"[^0-9A-Za-z\u3040-\u30FF\u4E00-\u9FFF]+"
 JAPANESE = r"[\u3040-\u30FF\u3400-\u9FFFー々]"
 
-# Word boundary over ASCII letters; Java's own boundary also counts kana as word letters.
-ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# Word boundaries over ASCII letters; Java's own boundary also counts kana as word letters.
+WORD_START = r"(?=[A-Za-z0-9_])(?<![A-Za-z0-9_])"
+WORD_END = r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+ASCII_BOUNDARY = f"(?:{WORD_START}|{WORD_END})"
 
 
 def ascii_words(pattern: str) -> str:
-    """A pattern whose word boundaries are ASCII ones."""
-    return pattern.replace(r"\b", ASCII_BOUNDARY)
+    """A pattern whose word boundaries are ASCII ones.
+
+    A boundary that opens or closes the pattern next to a letter or digit is written as the one
+    side it can be, which the matcher rejects at most places by looking at one letter.
+    """
+    body = pattern
+    opens, closes = body.startswith(r"\b"), body.endswith(r"\b")
+    body = body.removeprefix(r"\b").removesuffix(r"\b").replace(r"\b", ASCII_BOUNDARY)
+    return (WORD_START if opens else "") + body + (WORD_END if closes else "")
 
 
 def nfkc(text: Column) -> Column:
@@ -54,31 +66,29 @@ def strip_raw(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of blanks become one space; ends are trimmed. The regex runs only where needed."""
-    spaced = F.trim(F.translate(text, BLANK_LETTERS, " " * len(BLANK_LETTERS)))
-    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
+    """Runs of blanks become one space; ends are trimmed. Tidy text passes by byte tests alone."""
+    untidy = contains_any(text, ["  ", *BLANK_LETTERS[1:]])
+    return F.trim(F.when(untidy, F.regexp_replace(text, f"[{BLANK_LETTERS}]+", " ")).otherwise(text))
 
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, the measure the length thresholds are stated in."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    beyond = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(text) + beyond)
 
 
 def fold_normal(text: Column) -> Column:
     """Comparison key of text that is already NFKC: upper case, symbols to spaces, squeezed."""
-    return squeeze(F.translate(F.upper(text), FOLD_SYMBOLS, " " * len(FOLD_SYMBOLS)))
+    return F.trim(F.regexp_replace(F.upper(text), FOLDED_TO_SPACE, " "))
 
 
 def fold(text: Column) -> Column:
     return fold_normal(nfkc(text))
 
 
-def compact(text: Column) -> Column:
-    """Folded key without hyphens and blanks: ND-91841 and ND 91841 become one.
-
-    Takes NFKC or folded text; since symbols fold to blanks, all of them are simply removed.
-    """
-    return F.translate(F.upper(text), FOLD_SYMBOLS + "-" + BLANK_LETTERS, "")
+def compact(folded: Column) -> Column:
+    """A folded key without hyphens and spaces: ND-91841 and ND 91841 become one."""
+    return F.replace(F.replace(folded, F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
 
 
 def fold_literal(text: str) -> str:
@@ -93,7 +103,8 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def meaningful_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(MEANINGFUL))
+    """How many letters carry content; counted as what is left when all runs of others are cut out."""
+    return F.length(F.regexp_replace(text, NOT_MEANINGFUL, ""))
 
 
 def non_empty(words: Column) -> Column:

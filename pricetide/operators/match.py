@@ -10,12 +10,16 @@ from pricetide.functions import text as tx
 from pricetide.sources import dictionary
 
 
+# letters by which the place of a possible model is recognised
+MODEL_START = 2
+
+
 def empty_words() -> Column:
     return F.array().cast("array<string>")
 
 
 def complete_targets(targets: DataFrame) -> DataFrame:
-    """``quote_id, has_target, models, model_lengths, aliases``: keys ready to be searched for in titles.
+    """``quote_id, has_target, models, model_lengths, model_starts, aliases``: keys ready to be searched for in titles.
 
     Input: ``quote_id, brand STRING, model_numbers ARRAY<STRING>``, one row per quote. A brand found in
     the dictionary under any spelling brings all its spellings; another brand only itself.
@@ -30,7 +34,7 @@ def complete_targets(targets: DataFrame) -> DataFrame:
         "quote_id",
         (F.col("brand").isNotNull() | (F.size("model_numbers") > 0)).alias("has_target"),
         tx.fold_normal(F.col("brand_normal")).alias("folded"),
-        F.transform("models_normal", tx.compact).alias("models"),
+        F.transform("models_normal", lambda m: tx.compact(tx.fold_normal(m))).alias("models"),
     )
     groups = dictionary.alias_groups(targets.sparkSession).select("folded", "aliases")
     return keyed.join(F.broadcast(groups), "folded", "left").withColumn(
@@ -40,6 +44,7 @@ def complete_targets(targets: DataFrame) -> DataFrame:
         "has_target",
         "models",
         F.array_distinct(F.transform("models", lambda m: F.length(m))).alias("model_lengths"),
+        F.array_distinct(F.transform("models", lambda m: F.left(m, F.lit(MODEL_START)))).alias("model_starts"),
         F.when(F.col("folded") == "", empty_words())
         .otherwise(F.coalesce("aliases", F.array("folded"))).alias("aliases"),
     )
@@ -57,29 +62,28 @@ def expand_brand(names: DataFrame) -> DataFrame:
     ).drop("folded", "spellings")
 
 
-def _holds_model(compacted: Column, models: Column, lengths: Column) -> Column:
+def _holds_model(compacted: Column, models: Column, lengths: Column, starts: Column) -> Column:
     """Does the compact title contain one of the models?
 
-    Few models are looked for one by one. For many, all pieces of the title as long as a model are
-    hashed against the list; the cheaper of the two exact ways is taken row by row.
+    Few models are looked for one by one. For many, the title is walked through instead, and only
+    where some model could start are pieces of a model's length looked up; the cheaper of the two
+    exact ways is taken row by row.
     """
-    def pieces(size: Column) -> Column:
-        last = F.length(compacted) - size + 1
-        return F.when(
-            last >= 1, F.transform(F.sequence(F.lit(1), last), lambda at: F.substr(compacted, at, size))
-        ).otherwise(empty_words())
+    def starts_here(at: Column) -> Column:
+        return F.array_contains(starts, F.substr(compacted, at, F.lit(MODEL_START))) & F.exists(
+            lengths, lambda size: F.array_contains(models, F.substr(compacted, at, size)))
 
     return F.when(
-        F.size(models) > F.size(lengths) * F.length(compacted),
-        F.arrays_overlap(F.flatten(F.transform(lengths, pieces)), models),
+        F.size(models) > F.length(compacted),
+        F.exists(F.sequence(F.lit(1), F.length(compacted)), starts_here),
     ).otherwise(F.exists(models, lambda m: F.contains(compacted, m)))
 
 
-def match_tier(folded: Column, models: Column, lengths: Column, aliases: Column) -> Column:
+def match_tier(folded: Column, models: Column, lengths: Column, starts: Column, aliases: Column) -> Column:
     """``model``, ``brand`` or ``loose`` for a folded title."""
     return tx.bound(folded, lambda f: (
         F.when(f == "", F.lit("loose"))
-        .when(tx.bound(tx.compact(f), lambda c: _holds_model(c, models, lengths)), F.lit("model"))
+        .when(tx.bound(tx.compact(f), lambda c: _holds_model(c, models, lengths, starts)), F.lit("model"))
         .when(F.exists(aliases, lambda a: F.contains(f, a)), F.lit("brand"))
         .otherwise(F.lit("loose"))
     ))

@@ -10,13 +10,15 @@ from pricetide.functions import text as tx
 
 
 def close_japanese_gaps(line: Column) -> Column:
-    return F.regexp_replace(line, f"({tx.JAPANESE})[ \t]+(?={tx.JAPANESE})", "$1")
+    joined = F.regexp_replace(line, f"({tx.JAPANESE})[ \t]+(?={tx.JAPANESE})", "$1")
+    return F.when(F.octet_length(line) == F.length(line), line).otherwise(joined)
 
 
 def close_code_gaps(line: Column) -> Column:
     joined = F.regexp_replace(line, r"(\w)\s+-\s*(\d)", "$1-$2")
     joined = F.regexp_replace(joined, r"(\d)\s*-\s+(\d)", "$1-$2")
-    return F.regexp_replace(joined, tx.ascii_words(r"\b([A-Z]{1,4})\s+(\d{3,7})\b"), "$1$2")
+    joined = F.regexp_replace(joined, tx.ascii_words(r"\b([A-Z]{1,4})\s+(\d{3,7})\b"), "$1$2")
+    return F.when(F.rlike(line, F.lit("[0-9]")), joined).otherwise(line)
 
 
 def is_useful(line: Column) -> Column:
@@ -28,7 +30,8 @@ def is_useful(line: Column) -> Column:
 def useful_lines(normal: Column) -> Column:
     """Cleaned lines of NFKC text, without noise and without a line that repeats the one before."""
     def tidy(line: Column) -> Column:
-        return close_code_gaps(close_japanese_gaps(tx.strip(F.regexp_replace(line, "[ \t]+", " "))))
+        spaced = tx.strip(F.regexp_replace(line, "[ \t]+", " "))
+        return tx.bound(tx.bound(spaced, close_japanese_gaps), close_code_gaps)
 
     useful = F.filter(F.transform(F.split(normal, "\r?\n"), tidy), is_useful)
     return tx.bound(useful, lambda rows: F.filter(

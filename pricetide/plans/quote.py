@@ -32,6 +32,7 @@ def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
             F.lit(False).alias("has_target"),
             match.empty_words().alias("models"),
             F.array().cast("array<int>").alias("model_lengths"),
+            match.empty_words().alias("model_starts"),
             match.empty_words().alias("aliases"),
         )
     # Joined on a wrapped key, so that the result is not yet partitioned by quote_id: AQE splits a
@@ -42,6 +43,7 @@ def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
         F.coalesce("has_target", F.lit(False)).alias("has_target"),
         F.coalesce("models", match.empty_words()).alias("models"),
         F.coalesce("model_lengths", F.array().cast("array<int>")).alias("model_lengths"),
+        F.coalesce("model_starts", match.empty_words()).alias("model_starts"),
         F.coalesce("aliases", match.empty_words()).alias("aliases"),
     )
 
@@ -60,7 +62,8 @@ def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
         F.col("title_normal"), F.col("price"), F.col("price_min"), F.col("price_max"),
         F.col("rules_on"), F.col("exclude_words"),
     )
-    tier = match.match_tier(F.col("folded"), F.col("models"), F.col("model_lengths"), F.col("aliases"))
+    tier = match.match_tier(
+        F.col("folded"), F.col("models"), F.col("model_lengths"), F.col("model_starts"), F.col("aliases"))
     keep = [c for c in ("pos", "title") if c in listings.columns]
     is_listing = F.col("is_listing") if "is_listing" in listings.columns else F.lit(True)
     return (

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 #    its join partition into advisory-sized pieces, even when the aggregation that follows needs one
 #    more shuffle (that shuffle carries partial aggregates only).
 #  * no broadcast hint is ever put on a table that grows: Spark broadcasts a per-quote table only when
-#    its measured size is under spark.sql.autoBroadcastJoinThreshold.
+#    its estimated size is under spark.sql.autoBroadcastJoinThreshold. The later, adaptive switch to a
+#    broadcast is off: by then the large side has been shuffled, its hot partition would no longer be
+#    split, and an aggregation on the same key would run on that one partition.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.session.timeZone": "UTC",
 }
 

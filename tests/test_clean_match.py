@@ -62,7 +62,8 @@ def tiers(spark):
         df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "quote_id int, i int, title string")
         df = df.withColumn("n", tx.nfkc(F.col("title"))).withColumn("f", tx.fold_normal(F.col("n")))
         out = df.join(match.complete_targets(targets), "quote_id").select(
-            "i", match.match_tier(F.col("f"), F.col("models"), F.col("model_lengths"), F.col("aliases")).alias("t"))
+            "i", match.match_tier(F.col("f"), F.col("models"), F.col("model_lengths"),
+                                  F.col("model_starts"), F.col("aliases")).alias("t"))
         return [r["t"] for r in out.orderBy("i").collect()]
 
     return run

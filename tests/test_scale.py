@@ -11,7 +11,6 @@ from pricetide.plans.quote import QuoteJob
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
