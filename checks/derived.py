@@ -81,15 +81,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         key % 7 == 1, F.lit("NoSuchBrand")
     ).otherwise(F.col("p_brand"))
     brands = supplier.join(part, F.col("p_partkey") == key).select(key.alias("quote_id"), brand.alias("brand"))
-    numbered = part.select(
-        (F.col("p_partkey") % 100).alias("rest"),
-        F.concat(F.lit("MD-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("model"),
-    )
-    # the item list of a target is an input of its own; here the parts that share a remainder
+    # every part is a model of one quote; about 20 parts per supplier at every scale
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     models = (
-        supplier.filter(key % 7 > 1)
-        .select(key.alias("quote_id"), (key % 100).alias("rest"))
-        .join(numbered, "rest")
+        part.select(
+            (F.col("p_partkey") % suppliers).alias("quote_id"),
+            F.concat(F.lit("MD-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("model"),
+        )
+        .filter(F.col("quote_id") % 7 > 1)
         .groupBy("quote_id")
         .agg(F.array_sort(F.collect_list("model")).alias("model_numbers"))
     )

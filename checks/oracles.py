@@ -49,7 +49,7 @@ fx_targets AS (
 ),
 fx_models AS (
   SELECT s_suppkey AS quote_id, 'MD' || lpad(CAST(p_partkey AS STRING), 5, '0') AS model
-  FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100
+  FROM supplier JOIN part ON p_partkey % (SELECT count(*) FROM supplier) = s_suppkey
   WHERE s_suppkey % 7 > 1
 ),
 terms AS (

@@ -19,7 +19,7 @@ FOLD_SYMBOLS = "・･,、。／/|｜:：;；()（）[]【】{}\"'`~^*_＋+"
 FOLDED_TO_SPACE = "[" + re.escape(FOLD_SYMBOLS) + BLANK_LETTERS + "]+"
 
 # Fixed patterns: letters and digits that carry content, and Japanese letters.
-NOT_MEANINGFUL = r"[^0-9A-Za-z\u3040-\u30FF\u4E00-\u9FFF]+"
+NOT_MEANINGFUL = r"[^\p{Alnum}\u3040-\u30FF\u4E00-\u9FFF]+"
 JAPANESE = r"[\u3040-\u30FF\u3400-\u9FFFー々]"
 
 # Word boundaries over ASCII letters; Java's own boundary also counts kana as word letters.
