@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import rule_ledger
+from pricetide.llm import rule_ledger, simhash_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rule_ledger": rule_ledger.query,
+        "op7_simhash_blocks": simhash_blocks.query,
     }
 
 
