@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import rule_ledger, simhash_blocks
+from pricetide.llm import rule_ledger, seed_decontam, simhash_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spaced_seeds": seed_decontam.query,
         "op2_rule_ledger": rule_ledger.query,
         "op7_simhash_blocks": simhash_blocks.query,
     }
@@ -18,5 +19,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_spaced_seeds": seed_decontam.ORACLE,
         "op2_rule_ledger": rule_ledger.ORACLE,
     }
