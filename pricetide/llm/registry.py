@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import rule_ledger, seed_decontam, simhash_blocks
+from pricetide.llm import entropy_mix, ring_shards, rule_ledger, seed_decontam, simhash_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": seed_decontam.query,
         "op2_rule_ledger": rule_ledger.query,
+        "op4_entropy_mix": entropy_mix.query,
         "op7_simhash_blocks": simhash_blocks.query,
+        "op9_ring_shards": ring_shards.query,
     }
 
 
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_spaced_seeds": seed_decontam.ORACLE,
         "op2_rule_ledger": rule_ledger.ORACLE,
+        "op4_entropy_mix": entropy_mix.ORACLE,
     }
