@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.text import bound
-from pricetide.llm.words import fresh, text_key
+from pricetide.llm.words import fresh, stored, text_key
 
 # Positions a mask looks at.
 MASKS = [
@@ -121,7 +121,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, limit: i
     """
     a, b, found = fresh("a", "b", "found")
     key = text_key(docs["text"])
-    hits = candidates(docs, benchmark, limit).select(
+    # stored, so that the join may split the rows of a text that very many documents share
+    hits = stored(candidates(docs, benchmark, limit)).select(
         F.col("a").alias(a), F.col("b").alias(b), F.col("found").alias(found))
     joined = docs.join(hits, (key["a"] == F.col(a)) & (key["b"] == F.col(b)), "left")
     verified = bound(hashed_words(F.col("text")), lambda h: F.filter(F.transform(F.col(found), lambda c: F.struct(
