@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pricetide.llm import entropy_mix, ring_shards, rule_ledger, seed_decontam, simhash_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_spaced_seeds": seed_decontam.query,
         "op2_rule_ledger": rule_ledger.query,
         "op4_entropy_mix": entropy_mix.query,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.text import bound
-from pricetide.llm.words import BLANKS, words_of
+from pricetide.llm.words import fresh, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -116,6 +116,14 @@ def verdicts(ledger_rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
         "base_failed": base, "kept": ~base & ~rejected_by(policy), "policy": F.lit(policy.version)})
 
 
+def passing(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The rows of ``docs`` the policy keeps, with their own columns and values."""
+    text, = fresh("text")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(text), docs["text"].alias("text"))
+    kept = verdicts(ledger(whole), policy).where("kept")
+    return kept.select(*[F.col(text)[c].alias(c) for c in docs.columns])
+
+
 def ablations(ledger_rows: DataFrame, policies: list[Policy] = POLICIES) -> DataFrame:
     """Per policy and rule: documents and words the rule rejects, and those only it rejects.
 
