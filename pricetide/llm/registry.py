@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pricetide.llm import entropy_mix, ring_shards, rule_ledger, secret_owners, seed_decontam, simhash_blocks
+from pricetide.llm import (
+    entropy_mix,
+    license_templates,
+    ring_shards,
+    rule_ledger,
+    secret_owners,
+    seed_decontam,
+    simhash_blocks,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rule_ledger": rule_ledger.query,
         "op4_entropy_mix": entropy_mix.query,
         "op5_secret_owners": secret_owners.query,
+        "op6_license_templates": license_templates.query,
         "op7_simhash_blocks": simhash_blocks.query,
         "op9_ring_shards": ring_shards.query,
     }
@@ -28,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_rule_ledger": rule_ledger.ORACLE,
         "op4_entropy_mix": entropy_mix.ORACLE,
         "op5_secret_owners": secret_owners.ORACLE,
+        "op6_license_templates": license_templates.ORACLE,
     }
