@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pricetide.llm import (
+    crf_quality,
     entropy_mix,
     license_templates,
     ring_shards,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_spaced_seeds": seed_decontam.query,
         "op2_rule_ledger": rule_ledger.query,
+        "op3_crf_quality": crf_quality.query,
         "op4_entropy_mix": entropy_mix.query,
         "op5_secret_owners": secret_owners.query,
         "op6_license_templates": license_templates.query,
