@@ -10,6 +10,7 @@ import corpus_pipeline
 from pricetide.llm import (
     crf_quality,
     entropy_mix,
+    kneser_ney,
     license_templates,
     ring_shards,
     rule_ledger,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_templates": license_templates.query,
         "op7_simhash_blocks": simhash_blocks.query,
         "op9_ring_shards": ring_shards.query,
+        "op10_kneser_ney": kneser_ney.query,
     }
 
 
