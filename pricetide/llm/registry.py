@@ -12,6 +12,7 @@ from pricetide.llm import (
     entropy_mix,
     kneser_ney,
     license_templates,
+    line_neighbours,
     ring_shards,
     rule_ledger,
     secret_owners,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_owners": secret_owners.query,
         "op6_license_templates": license_templates.query,
         "op7_simhash_blocks": simhash_blocks.query,
+        "op8_line_neighbours": line_neighbours.query,
         "op9_ring_shards": ring_shards.query,
         "op10_kneser_ney": kneser_ney.query,
     }
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_entropy_mix": entropy_mix.ORACLE,
         "op5_secret_owners": secret_owners.ORACLE,
         "op6_license_templates": license_templates.ORACLE,
+        "op8_line_neighbours": line_neighbours.ORACLE,
     }

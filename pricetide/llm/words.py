@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.array_store import new_folder
 from pricetide.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -38,3 +39,10 @@ def fresh(*names: str) -> list[str]:
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate to the shared checkpoint folder and read it from there."""
     return cut_lineage(df)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like ``stored``, as Parquet: smaller where sorted columns repeat."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
