@@ -31,6 +31,7 @@ CAP = 2.0
 SLICES = 4096
 TOLERANCE = 1e-12
 MOST_STEPS = 100
+BROADCAST_SOURCES = 100_000  # more sources than this meet the documents in a shuffled join
 LOWEST = -60.0  # a multiplier for targets of 0
 
 
@@ -155,6 +156,8 @@ def attached(docs: DataFrame, weights, share: float, cap: float, prior: str | No
     names = ["s", "source_size", "target", "multiplier", "end_slice", "end_key", "size", "u", "rate", "key", "copies"]
     of = dict(zip(names, fresh(*names)))
     per_source = plan(rows, wanted, cap).select(*[F.col(n).alias(of[n]) for n in names[:6]])
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
     col = {n: F.col(m) for n, m in of.items()}
     joined = docs.select(
         *[docs[c] for c in docs.columns], size_of(docs["text"]).alias(of["size"]),
