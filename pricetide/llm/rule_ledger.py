@@ -30,10 +30,11 @@ RULES: dict[str, str] = {
     "duplicate_lines": "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines",
     "upper_case": "2 * n_upper > word_chars",
     "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
+    "stutter": "10 * n_stutter > 3 * n_words",
 }
 BASE_RULES = ("few_words", "repeated_windows")
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter"]
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,11 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     ).otherwise(F.lit(0)).cast("long")
 
 
+def stutters(words: Column) -> Column:
+    """How many words equal the word before them."""
+    return bound(words, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (F.get(w, i - 1) == x)))).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """The input's columns with one long column per measurement."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -94,6 +100,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_repeat_words": repeated_words(F.col("ledger_words")),
         "n_lines": F.size("ledger_lines").cast("long"),
         "n_upper": F.char_length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"),
+        "n_stutter": stutters(F.col("ledger_words")),
     }).drop("ledger_words", "ledger_lines")
 
 
@@ -167,7 +174,8 @@ m AS (
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter
   FROM w LEFT JOIN covered USING (r)),
 b AS (
   SELECT *, ((n_words < 20)::INT
@@ -175,7 +183,8 @@ b AS (
     + 4 * (10 * n_symbols > n_words)::INT
     + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT
     + 16 * (2 * n_upper > word_chars)::INT
-    + 32 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT)::BIGINT AS failed_rules FROM m)
+    + 32 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+    + 64 * (10 * n_stutter > 3 * n_words)::INT)::BIGINT AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, failed_rules = 0 AS kept,
        failed_rules, '2026-12' AS policy

@@ -13,13 +13,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def passes(text):
-    words = (text or "").split(" ")
     words = [w for w in (text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
     lines = [x for x in (text or "").split("\n") if x.strip()]
     chars, n = sum(map(len, words)), len(words)
     return not (n < 20 or 100 * brute_repeats(text or "") > 30 * n or 10 * sum(c in "#*$%&|<>" for c in text) > n
                 or (len(lines) >= 4 and 100 * (len(lines) - len(set(lines))) > 50 * len(lines))
-                or 2 * sum("A" <= c <= "Z" for c in text) > chars or chars < 2 * n or chars > 15 * n)
+                or 2 * sum("A" <= c <= "Z" for c in text) > chars or chars < 2 * n or chars > 15 * n
+                or 10 * sum(a == b for a, b in zip(words, words[1:])) > 3 * n)
 
 
 @pytest.fixture(scope="module")
