@@ -229,3 +229,41 @@ def record_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quote_id") % 2 == 0, F.concat(F.lit("MD"), number)).otherwise(F.lit("")).alias("tag_text"),
         "groups",
     )
+
+
+UNREADABLE_PAGE = "ログインしてください\n商品が見つかりません"
+
+
+def mixed_pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quote_id, source, page, text``: readable pages, one page without amounts, one empty page."""
+    key, auction = F.col("quote_id"), F.col("source") == "auction"
+    pages = pastes(spark, sf_dir, "market").where(
+        (auction & (key % 4).isin(0, 3)) | (~auction & (key % 2 == 1)))
+    blank = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 4 < 3).where(F.col("s_suppkey") % 4 > 0).select(
+        F.col("s_suppkey").alias("quote_id"), F.lit("auction").alias("source"), F.lit(0).cast("bigint").alias("page"),
+        F.when(F.col("s_suppkey") % 4 == 1, F.lit(UNREADABLE_PAGE)).otherwise(F.lit("")).alias("text"))
+    return pages.unionByName(blank)
+
+
+def mixed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of every other quote given directly, some without a price."""
+    given = listings(spark, sf_dir).where((F.col("source") == "market") & (F.col("quote_id") % 2 == 0))
+    unpriced = (F.col("quote_id") % 8 == 0) & (F.col("pos") == 0)
+    return given.withColumn("price", F.when(~unpriced, F.col("price")))
+
+
+def mixed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options for two quotes in three, and for some quotes that have no listings."""
+    given = options(spark, sf_dir)
+    beyond = given.where(F.col("quote_id") % 5 == 0).withColumn("quote_id", F.col("quote_id") + 1_000_000)
+    return given.where(F.col("quote_id") % 3 > 0).unionByName(beyond)
+
+
+def photo_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ocr_passes`` with the lines each pass has read: those of one document, with a confidence each."""
+    docs = table(spark, sf_dir, "documents")
+    count = docs.agg(F.count(F.lit(1))).scalar()
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
+        x.alias("text"), ((F.length(x) * 7 + i * 13) % 100).cast("double").alias("confidence")))
+    passes = ocr_passes(spark, sf_dir).withColumn("doc_id", (F.col("photo_id") * 11 + F.col("ord")) % count)
+    return passes.join(docs.select("doc_id", lines.alias("lines")), "doc_id", "left").drop("doc_id")

@@ -84,7 +84,7 @@ def _reason() -> str:
         for i, (_, why) in enumerate(dims.EXCLUSION_RULES)
     )
     return f"""CASE
-      WHEN price < price_min THEN '下限価格(' || format('{{:,}}', price_min) || '円)未満'
+      WHEN price IS NULL OR price < price_min THEN '下限価格(' || format('{{:,}}', price_min) || '円)未満'
       WHEN price > price_max THEN '上限価格(' || format('{{:,}}', price_max) || '円)超'
       {rules}
       WHEN has_words AND contains(lower(l.title), 'hot') THEN '除外語: HOT'
@@ -200,6 +200,33 @@ quotes AS (
 
 QUOTED = f"{BASE},{SOURCE_STATS},{QUOTES}"
 
+MIXED_INPUTS = f"""
+{LISTINGS.replace('fx_listings AS', 'raw_listings AS')},
+fx_listings AS (
+  SELECT quote_id, source, pos, title,
+         CASE WHEN source = 'market' AND quote_id % 8 = 0 AND pos = 0 THEN NULL ELSE price END AS price
+  FROM raw_listings WHERE source = 'market' OR quote_id % 4 IN (0, 3)
+),
+{OPTIONS.replace('fx_options AS', 'given_options AS')},
+fx_options AS (
+  SELECT quote_id, CASE WHEN quote_id % 3 = 0 THEN '' ELSE query END AS query,
+         CASE WHEN quote_id % 3 = 0 THEN 300 ELSE price_min END AS price_min,
+         CASE WHEN quote_id % 3 = 0 THEN 3000000 ELSE price_max END AS price_max,
+         has_words AND quote_id % 3 <> 0 AS has_words, defaults_on OR quote_id % 3 = 0 AS defaults_on,
+         remove_outliers OR quote_id % 3 = 0 AS remove_outliers
+  FROM given_options
+),
+ids AS (
+  SELECT s_suppkey AS quote_id FROM supplier UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 5 = 0
+),
+inputs AS (
+  SELECT quote_id, source, CAST(NULL AS VARCHAR) AS error FROM fx_listings GROUP BY 1, 2
+  UNION ALL
+  SELECT s_suppkey, 'auction', CASE WHEN s_suppkey % 4 = 1 THEN '{dims.UNREADABLE_PASTE}' END
+  FROM supplier WHERE s_suppkey % 4 IN (1, 2)
+)"""
+MIXED = f"WITH {MIXED_INPUTS},{TARGETS},{CLASSIFIED},{SETTLED},{SOURCE_STATS},{QUOTES}"
+
 LABEL = "CASE {} WHEN 'auction' THEN 'オークション' ELSE 'フリマ' END"
 TIER_LABEL = ("CASE {} WHEN 'model' THEN '品番まで一致' WHEN 'brand' THEN 'ブランドのみ一致' "
               "WHEN 'loose' THEN '手がかりなし' ELSE '全件' END")
@@ -403,15 +430,19 @@ hints AS (
 )"""
 
 
-def _queries_sql(tail: str) -> str:
+def _queries_sql(tail: str, noted: bool = False) -> str:
     labels = dims.QUERY_LABELS
+    topic = "coalesce(array_to_string(keywords[1:2], ' '), '')"
+    if noted:
+        topic = f"CASE WHEN tag_id % 2 = 0 THEN '古着 BLUE' ELSE {topic} END"
+    scanned = f"""SELECT tag_id, 0 AS o, CAST(4900000000000 + tag_id AS VARCHAR) AS query, '{labels["barcode"]}' AS label
+  FROM parts WHERE tag_id % 3 = 0 UNION ALL """ if noted else ""
     return f"""WITH {TAGS},
 parts AS (
-  SELECT tag_id, coalesce(brand, '') AS b, model AS m, size AS s,
-    coalesce(array_to_string(keywords[1:2], ' '), '') AS t FROM keyworded
+  SELECT tag_id, coalesce(brand, '') AS b, model AS m, size AS s, {topic} AS t FROM keyworded
 ),
 candidates AS (
-  SELECT tag_id, 1 AS o, b || ' ' || m AS query, '{labels["brand_model"]}' AS label FROM parts WHERE b <> ''
+  {scanned}SELECT tag_id, 1 AS o, b || ' ' || m AS query, '{labels["brand_model"]}' AS label FROM parts WHERE b <> ''
   UNION ALL SELECT tag_id, 2, m, '{labels["model"]}' FROM parts
   UNION ALL SELECT tag_id, 3, b || ' ' || t || ' ' || s, '{labels["brand_topic_size"]}' FROM parts WHERE b <> '' AND t <> ''
   UNION ALL SELECT tag_id, 4, b || ' ' || t, '{labels["brand_topic"]}' FROM parts WHERE b <> '' AND t <> ''
@@ -433,6 +464,9 @@ _JP = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}ー々]"
 _GOOD = r"[^0-9A-Za-z\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 
 
+SURE_LINE = "(length(line) * 7 + (i - 1) * 13) % 100 >= 30"
+
+
 def _clean_docs(keep_line: str) -> str:
     return rf"""WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -574,7 +608,33 @@ def oracle_sql() -> dict[str, str]:
       {status} AS status FROM final"""
     sql["result_rows_top500"] = f"""{BASE} SELECT quote_id, place, item_id, price FROM (
         SELECT quote_id, {ITEM_ID} AS item_id, price, CAST(row_number() OVER (PARTITION BY quote_id
-          ORDER BY price DESC, {ITEM_ID}) AS INTEGER) AS place FROM final) x WHERE place <= 500"""
+          ORDER BY price DESC, source, pos) AS INTEGER) AS place FROM final) x WHERE place <= 500"""
+    by_key = " UNION ALL ".join(
+        f"""SELECT '{key}' AS sorted_by, quote_id, CAST(row_number() OVER (PARTITION BY quote_id
+          ORDER BY {order}, source, pos) AS INTEGER) AS place, {ITEM_ID} AS item_id FROM final WHERE kept"""
+        for key, order in (("title", "title"), ("label", f"{LABEL.format('source')} DESC"), ("tier", "tier")))
+    sql["result_rows_sorted"] = f"{BASE} SELECT * FROM ({by_key}) x WHERE place <= 500"
+    sql["paste_item_ids"] = f"{PAGED} SELECT quote_id, {ITEM_ID} AS item_id, title, price FROM fx_listings"
+    sql["quotes_mixed_inputs"] = f"""{MIXED} SELECT i.quote_id, coalesce(basis_tier, 'all') AS basis_tier,
+      coalesce(n_basis, 0) AS n_basis, equal_weight_median, coalesce(combined_count, 0) AS combined_count,
+      coalesce(sources_used, '') AS sources_used FROM ids i LEFT JOIN quotes q USING (quote_id)"""
+    sql["mixed_cards"] = f"""{MIXED} SELECT quote_id, source, median, coalesce(count, 0) AS used,
+      coalesce(n_read, 0) AS "read", coalesce(excluded_count - outlier_count, 0) AS excluded,
+      coalesce(outlier_count, 0) AS outliers, CAST(0 AS BIGINT) AS untitled, error
+      FROM inputs LEFT JOIN source_stats USING (quote_id, source)"""
+    sql["mixed_warnings"] = f"""{MIXED},
+      thin AS (SELECT quote_id, string_agg({LABEL.format('source')}, ' / ' ORDER BY source) AS names
+               FROM source_stats WHERE count BETWEEN 1 AND 4 GROUP BY 1),
+      used AS (SELECT quote_id, count(*) FILTER (count > 0) AS used, sum(count) AS total FROM source_stats GROUP BY 1),
+      failed AS (SELECT quote_id, {LABEL.format('source')} || ': ' || error AS text FROM inputs WHERE error IS NOT NULL)
+      SELECT i.quote_id, concat_ws('|', f.text,
+        CASE WHEN coalesce(t.has_target, false) AND coalesce(basis_tier, 'all') = 'all' THEN '{dims.NO_MATCH_WARNING}'
+             WHEN basis_tier = 'brand' AND n_model > 0 THEN '品番が一致したのは ' || n_model || ' 件だけなので、ブランド一致まで広げて計算しています。' END,
+        '{dims.THIN_WARNING}' || names,
+        CASE WHEN coalesce(total, 0) = 0 AND f.text IS NULL THEN '{dims.EMPTY_WARNING}'
+             WHEN used = 1 THEN '{dims.ONE_SOURCE_WARNING}' END) AS warnings
+      FROM ids i LEFT JOIN quotes q USING (quote_id) LEFT JOIN thin USING (quote_id) LEFT JOIN used USING (quote_id)
+        LEFT JOIN failed f USING (quote_id) LEFT JOIN terms t USING (quote_id)"""
     sql["source_cards"] = f"""{BASE},{SOURCE_STATS} SELECT quote_id, source, {LABEL.format('source')} AS label, median, mean,
       p25, p75, count AS used, n_read AS "read", excluded_count - outlier_count AS excluded, outlier_count AS outliers,
       CAST(0 AS BIGINT) AS untitled FROM source_stats"""
@@ -608,6 +668,7 @@ def oracle_sql() -> dict[str, str]:
       coalesce(nullif(h.sizes, ''), r.size) AS sizes, coalesce(nullif(h.materials, ''), r.material) AS materials
       FROM read r LEFT JOIN hints h USING (tag_id)"""
     sql["search_queries"] = _queries_sql("SELECT * FROM ranked")
+    sql["search_queries_noted"] = _queries_sql("SELECT * FROM ranked", noted=True)
     encoded = "url_encode(query)"
     for code, letter in {"%21": "!", "%27": "''", "%28": "(", "%29": ")"}.items():
         encoded = f"replace({encoded}, '{code}', '{letter}')"
@@ -616,8 +677,8 @@ def oracle_sql() -> dict[str, str]:
         for key, _, url in dims.SOURCES)
     sql["search_urls"] = _queries_sql(sources)
     sql["ocr_clean_docs"] = _clean_docs("true")
-    sql["ocr_confident_lines"] = _clean_docs("(length(line) * 7 + (i - 1) * 13) % 100 >= 30")
-    sql["ocr_pass_pick"] = """WITH passes AS (
+    sql["ocr_confident_lines"] = _clean_docs(SURE_LINE)
+    picks = """passes AS (
         SELECT CAST(floor(event_id / 11.0) AS BIGINT) AS photo_id, event_id % 11 AS ord, (event_id % 4) * 90 AS degrees,
           CAST(floor(value) AS BIGINT) % 100 AS confidence FROM events),
       probes AS (SELECT photo_id, degrees, row_number() OVER (PARTITION BY photo_id ORDER BY confidence DESC, ord) AS k
@@ -625,11 +686,15 @@ def oracle_sql() -> dict[str, str]:
       tried AS (SELECT *, max(confidence) OVER (PARTITION BY photo_id ORDER BY ord
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM passes WHERE ord >= 8),
       kept AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY confidence DESC, ord) AS k
-               FROM tried WHERE best_before IS NULL OR best_before < 85)
-      SELECT p.photo_id, coalesce(b.degrees, 0) AS degrees, k.ord, k.confidence, k.confidence < 70 AS shaky
+               FROM tried WHERE best_before IS NULL OR best_before < 85)"""
+    picked = """SELECT p.photo_id, coalesce(b.degrees, 0) AS degrees, k.ord, k.confidence, k.confidence < 70 AS shaky
       FROM (SELECT DISTINCT photo_id FROM passes) p
       LEFT JOIN (SELECT * FROM probes WHERE k = 1) b USING (photo_id)
       LEFT JOIN (SELECT * FROM kept WHERE k = 1) k USING (photo_id)"""
+    sql["ocr_pass_pick"] = f"WITH {picks} {picked}"
+    sql["photo_texts"] = f"""WITH {picks}, picked AS ({picked}), cleaned AS ({_clean_docs(SURE_LINE)})
+      SELECT p.*, coalesce(c.clean_text, '') AS clean_text FROM picked p
+      LEFT JOIN cleaned c ON c.doc_id = (p.photo_id * 11 + p.ord) % (SELECT count(*) FROM documents)"""
     sql["tag_responses"] = f"""WITH {RESPONSES} SELECT tag_id, status, error, text, brand, made_in, model_numbers, sizes,
       materials FROM hints"""
     countries = " ".join(f"WHEN regexp_matches(digits, '{p}') THEN '{n}'" for p, n in dims.COUNTRY_PREFIXES)

@@ -122,8 +122,20 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rows_top500(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = job(spark, sf_dir, positions=True, keep_counts=True).rows
-    return views.shown_rows(rows, include_excluded=True, sort_key="price", descending=True).select(
-        "quote_id", "place", "item_id", "price")
+    return views.shown_rows(
+        rows, include_excluded=True, sort_key="price", descending=True, sources=derived.SOURCES
+    ).select("quote_id", "place", "item_id", "price")
+
+
+def result_rows_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows a quote is made of, by title, label and tier."""
+    rows = job(spark, sf_dir, positions=True, keep_counts=True).rows
+    parts = [
+        views.shown_rows(rows, sort_key=key, descending=key == "label", sources=derived.SOURCES).select(
+            F.lit(key).alias("sorted_by"), "quote_id", "place", "item_id")
+        for key in ("title", "label", "tier")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +186,43 @@ def quotes_from_pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoted.quotes.select("quote_id", "basis_tier", "equal_weight_median", "combined_count")
 
 
+def mixed_job(spark: SparkSession, sf_dir: str) -> QuoteJob:
+    """Pages and direct listings together; unreadable, empty and missing inputs; quotes without options."""
+    from pricetide.plans.replay import quotes_from_pastes as plan
+
+    given = derived.mixed_options(spark, sf_dir).withColumn("exclude_words", clean.user_words(F.col("exclude_csv")))
+    return plan(
+        derived.mixed_pastes(spark, sf_dir), given, derived.targets(spark, sf_dir),
+        derived.mixed_entries(spark, sf_dir), derived.SOURCES, page="page")
+
+
+def quotes_mixed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_job(spark, sf_dir).quotes.select(
+        "quote_id", "basis_tier", "n_basis", "equal_weight_median", "combined_count",
+        F.array_join("sources_used", ",").alias("sources_used"))
+
+
+def mixed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_job(spark, sf_dir).warnings.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def mixed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_job(spark, sf_dir).cards.select(
+        "quote_id", "source", "median", "used", "read", "excluded", "outliers", "untitled", "error")
+
+
+def paste_item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of all pages of a source, numbered on from page to page."""
+    from pricetide.plans.replay import quotes_from_pastes as plan
+
+    quoted = plan(derived.pastes(spark, sf_dir, "market"), options(spark, sf_dir), sources=derived.SOURCES, page="page")
+    return quoted.rows.select("quote_id", "item_id", "title", "price")
+
+
+def photo_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr_text.photo_texts(derived.photo_passes(spark, sf_dir))
+
+
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify.identify(derived.garment_tags(spark, sf_dir))
 
@@ -199,6 +248,16 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify.search_queries(_identified(spark, sf_dir))
 
 
+def search_queries_noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a scanned code on every third tag and typed words on every other."""
+    key = F.col("tag_id")
+    noted = _identified(spark, sf_dir).withColumns({
+        "scanned": F.when(key % 3 == 0, (F.lit(4900000000000) + key).cast("string")),
+        "typed": F.when(key % 2 == 0, F.lit("古着 blue")).otherwise(F.lit("")),
+    })
+    return identify.search_queries(noted, "scanned", "typed")
+
+
 def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = identify.search_queries(_identified(spark, sf_dir))
     return identify.search_urls(queries).select("tag_id", "rank", "source", "url")
@@ -286,7 +345,8 @@ FORMS = ["auction", "market", "inline", "csv", "tsv", "bare"]
 _ALL: list[Query] = [
     quote_headline, quote_notes, listing_exclusions, match_tiers, basis_choice, iqr_outliers, iqr_bounds,
     source_stats, pooled_stats, price_histogram, price_histogram_12, quote_warnings, verdicts, confidence,
-    verdict_factors, result_rows, result_rows_top500, source_cards, option_defaults, option_rejects,
+    verdict_factors, result_rows, result_rows_top500, result_rows_sorted, source_cards, quotes_mixed_inputs,
+    mixed_warnings, mixed_cards, paste_item_ids, photo_texts, search_queries_noted, option_defaults, option_rejects,
     brand_spellings, parse_report, quotes_from_pastes, tag_identify, tag_identify_hinted, search_queries,
     search_urls, ocr_clean_docs, ocr_confident_lines, ocr_pass_pick, tag_responses, barcode_check,
     records_latest, records_delete, records_replay, csv_export_lines, title_keys,

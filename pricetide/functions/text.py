@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import reduce
 from operator import or_
@@ -16,8 +15,6 @@ BLANK_LETTERS = " \t\n\x0b\f\r\u1680\u2028\u2029\ufeff"
 # Symbols that separate words when two spellings are compared.
 FOLD_SYMBOLS = "・･,、。／/|｜:：;；()（）[]【】{}\"'`~^*_＋+"
 
-FOLDED_TO_SPACE = "[" + re.escape(FOLD_SYMBOLS) + BLANK_LETTERS + "]+"
-
 # Fixed patterns: letters and digits that carry content, and Japanese letters.
 NOT_MEANINGFUL = r"[^\p{Alnum}\u3040-\u30FF\u4E00-\u9FFF]+"
 JAPANESE = r"[\u3040-\u30FF\u3400-\u9FFFー々]"
@@ -78,8 +75,13 @@ def utf16_length(text: Column) -> Column:
 
 
 def fold_normal(text: Column) -> Column:
-    """Comparison key of text that is already NFKC: upper case, symbols to spaces, squeezed."""
-    return F.trim(F.regexp_replace(F.upper(text), FOLDED_TO_SPACE, " "))
+    """Comparison key of text that is already NFKC: upper case, symbols to spaces, squeezed.
+
+    Symbols are replaced letter by letter; a pattern runs only where two blanks meet.
+    """
+    blanked = FOLD_SYMBOLS + BLANK_LETTERS[1:]
+    spaced = F.translate(F.upper(text), blanked, " " * len(blanked))
+    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 def fold(text: Column) -> Column:

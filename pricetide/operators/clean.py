@@ -30,6 +30,19 @@ def enabled_rules(query: Column, use_defaults: Column) -> Column:
     ])
 
 
+def default_terms() -> dict[str, Column]:
+    """What holds for a quote without options."""
+    return {
+        "query": F.lit(""),
+        "price_min": F.lit(dims.MIN_PRICE).cast("bigint"),
+        "price_max": F.lit(dims.MAX_PRICE).cast("bigint"),
+        "rules_on": F.array(*[F.lit(True)] * len(dims.EXCLUSION_RULES)),
+        "exclude_words": F.array().cast("array<string>"),
+        "remove_outliers": F.lit(True),
+        "iqr_k": F.lit(dims.IQR_K),
+    }
+
+
 def complete_options(options: DataFrame) -> DataFrame:
     """Defaults and normal forms, one row per quote.
 
@@ -87,7 +100,7 @@ def exclusion_reason(
 ) -> Column:
     """Null for a listing that counts. Guards come first, then rules in order, then user words."""
     reason = F.when(
-        price < price_min, F.concat(F.lit("下限価格("), money.grouped(price_min), F.lit("円)未満"))
+        price.isNull() | (price < price_min), F.concat(F.lit("下限価格("), money.grouped(price_min), F.lit("円)未満"))
     ).when(
         price > price_max, F.concat(F.lit("上限価格("), money.grouped(price_max), F.lit("円)超"))
     )

@@ -110,3 +110,15 @@ def pick_passes(passes: DataFrame) -> DataFrame:
         "best.ord", "best.confidence",
         (F.col("best.confidence") < dims.SHAKY_CONFIDENCE).alias("shaky"),
     )
+
+
+def photo_texts(passes: DataFrame) -> DataFrame:
+    """``photo_id, degrees, ord, confidence, shaky, clean_text``: passes with ``lines`` to the text of the pick.
+
+    The pick is made on the numbers alone; lines are read for the picked pass only.
+    """
+    picks = pick_passes(passes.drop("lines"))
+    read = passes.where("kind = 'variant'").select(
+        F.col("photo_id").alias("p"), F.col("ord").alias("o"), "lines", F.lit("").alias("text"))
+    joined = picks.join(read, (F.col("photo_id") == F.col("p")) & (F.col("ord") == F.col("o")), "left").drop("p", "o")
+    return read_lines(joined).drop("lines", "text")

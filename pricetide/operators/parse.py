@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricetide import dims
 from pricetide.functions import text as tx
@@ -28,9 +29,18 @@ def marked(line: Column) -> Column:
     return F.contains(line, F.lit("¥")) | F.contains(line, F.lit("円"))
 
 
+HUGE = (1 << 63) - 1
+
+
+def _whole(digits: Column) -> Column:
+    """Digits, perhaps signed, as a number; null for ''. What 64 bits cannot hold becomes the nearest they can."""
+    beyond = F.when(F.startswith(digits, F.lit("-")), F.lit(-HUGE)).otherwise(F.lit(HUGE))
+    return F.coalesce(digits.try_cast("bigint"), F.when(F.rlike(digits, F.lit("[0-9]")), beyond))
+
+
 def _amount(text: Column) -> Column:
-    """The one number in a text that holds no other digits; null for '' and for overflow."""
-    return F.regexp_replace(text, "[^0-9]", "").try_cast("bigint")
+    """The one number in a text that holds no other digits; null for ''."""
+    return _whole(F.regexp_replace(text, "[^0-9]", ""))
 
 
 def extract_price(line: Column) -> Column:
@@ -64,8 +74,7 @@ def is_table(lines: Column) -> Column:
 
 
 def _leading_int(field: Column) -> Column:
-    digits = F.regexp_extract(F.replace(field, F.lit(","), F.lit("")), r"^\s*([+-]?[0-9]+)", 1)
-    return digits.try_cast("bigint")
+    return _whole(F.regexp_extract(F.replace(field, F.lit(","), F.lit("")), r"^\s*([+-]?[0-9]+)", 1))
 
 
 def _table_fields(line: Column) -> Column:
@@ -152,30 +161,43 @@ def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def entries(parsed: DataFrame) -> DataFrame:
-    """One row per listing with its ``pos`` in the paste.
+def page_starts(parsed: DataFrame, page: str | None) -> DataFrame:
+    """Adds ``start``: how many entries the earlier pages of the same quote and source hold."""
+    if page is None:
+        return parsed.withColumn("start", F.lit(0).cast("bigint"))
+    earlier = Window.partitionBy("quote_id", "source").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    return parsed.withColumn("start", F.coalesce(F.sum("prices_found").over(earlier), F.lit(0)).cast("bigint"))
+
+
+def entries(parsed: DataFrame, page: str | None = None) -> DataFrame:
+    """One row per listing with its ``pos``, counted over all pages where ``page`` names their order.
 
     The outer form of the explode, because the plain one makes Spark add a size filter, push it
     below the parser and so parse every paste twice.
     """
     keys = [c for c in parsed.columns if c not in REPORT_COLUMNS + ["entries"]]
-    return parsed.select(*keys, F.posexplode_outer("entries").alias("pos", "entry")).filter("entry is not null").select(
-        *keys, F.col("pos").cast("bigint").alias("pos"), "entry.title", "entry.price"
-    )
+    started = page_starts(parsed, page)
+    return started.select(*keys, "start", F.posexplode_outer("entries").alias("pos", "entry")).filter(
+        "entry is not null").select(*keys, (F.col("start") + F.col("pos")).alias("pos"), "entry.title", "entry.price")
 
 
 def report(parsed: DataFrame) -> DataFrame:
     return parsed.drop("entries")
 
 
-def report_by_source(parsed: DataFrame) -> DataFrame:
-    """``quote_id, source, lines, prices_found, untitled, error``, all pages of a source together."""
-    return report(parsed).groupBy("quote_id", "source").agg(
-        *[F.sum(c).alias(c) for c in ("lines", "prices_found", "untitled")]
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """``quote_id, source, lines, prices_found, untitled, error``: one row per source of a quote."""
+    return reports.groupBy("quote_id", "source").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("lines", "prices_found", "untitled")]
     ).withColumn(
         "error", F.when((F.col("lines") > 0) & (F.col("prices_found") == 0), F.lit(dims.UNREADABLE_PASTE)))
 
 
+def report_by_source(parsed: DataFrame) -> DataFrame:
+    """The report of a source, all its pages together."""
+    return merged_reports(report(parsed))
+
+
 def direct_report(listings: DataFrame) -> DataFrame:
     """The report of listings that were given already parsed."""
     return listings.groupBy("quote_id", "source").agg(

@@ -151,8 +151,9 @@ def _with_iqr(stats: DataFrame, prefix: str = "") -> DataFrame:
 def source_stats(settled: DataFrame) -> DataFrame:
     """Per quote and source: counters and statistics; empty sources have count 0 and nulls."""
     excluded = F.sum(F.when(F.col("excluded"), F.col("n")).otherwise(0))
+    # a row without a source stands for a quote without listings
     return _with_iqr(
-        settled.groupBy("quote_id", "source").agg(
+        settled.where("source is not null").groupBy("quote_id", "source").agg(
             F.sum("n").alias("n_read"),
             (excluded + F.max("outlier_count")).alias("excluded_count"),
             F.max("outlier_count").alias("outlier_count"),
@@ -189,11 +190,17 @@ def basis_choice(settled: DataFrame) -> DataFrame:
 
 def fences(settled: DataFrame) -> DataFrame:
     """Per quote and source: the chosen basis and the bounds outside which a listing is dropped."""
-    return settled.groupBy("quote_id", "source").agg(
+    return settled.where("source is not null").groupBy("quote_id", "source").agg(
         F.max("basis").alias("basis"), F.max("low").alias("low"), F.max("high").alias("high")
     )
 
 
+def fences_by_quote(settled: DataFrame) -> DataFrame:
+    """``quote_id, fences``: an array with the source, basis and bounds of each source of the quote."""
+    return fences(settled).groupBy("quote_id").agg(
+        F.collect_list(F.struct("source", "basis", "low", "high")).alias("fences"))
+
+
 def source_order(source: Column, sources: list[tuple]) -> Column:
     """Display order of a source; unknown ones come last."""
     place = F.array_position(F.array(*[F.lit(key) for key, *_ in sources]), source)

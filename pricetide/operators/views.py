@@ -9,12 +9,17 @@ from pyspark.sql.window import Window
 from pricetide import dims
 from pricetide.functions.money import yen
 from pricetide.operators.match import tier_label, within_basis
-from pricetide.operators.stats import source_label
+from pricetide.operators.stats import source_label, source_order
 
 
-def listing_rows(classified: DataFrame, fences: DataFrame, sources: list[tuple]) -> DataFrame:
-    """Final state of every listing: outliers excluded, ``in_basis`` set, labels and status added."""
-    joined = classified.join(fences, ["quote_id", "source"])
+def listing_rows(classified: DataFrame, sources: list[tuple]) -> DataFrame:
+    """Final state of every listing: outliers excluded, ``in_basis`` set, labels and status added.
+
+    ``classified`` carries the ``fences`` of its quote, one entry per source.
+    """
+    own = F.get(F.filter("fences", lambda f: f["source"].eqNullSafe(F.col("source"))), F.lit(0))
+    joined = classified.withColumn("fence", own).select(
+        "*", *[F.col(f"fence.{c}").alias(c) for c in ("basis", "low", "high")])
     candidate = ~F.col("excluded") & within_basis(F.col("basis"), F.col("tier"))
     outside = (F.col("price") < F.col("low")) | (F.col("price") > F.col("high"))
     marked = joined.withColumn("candidate", candidate).withColumn(
@@ -42,22 +47,34 @@ def listing_rows(classified: DataFrame, fences: DataFrame, sources: list[tuple])
     )
 
 
+# up to this limit Spark itself drops surplus rows of a group before the shuffle
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def shown_rows(
     rows: DataFrame,
     include_excluded: bool = False,
     sort_key: str = "price",
     descending: bool = False,
     limit: int = dims.ROWS_SHOWN,
+    sources: list[tuple] = dims.SOURCES,
 ) -> DataFrame:
-    """The first rows of each quote by ``label, title, price`` or ``tier``; item id breaks ties.
+    """The first rows of each quote by ``label, title, price`` or ``tier``.
 
-    ``row_number() <= limit`` lets Spark drop surplus rows before the shuffle (window group limit).
+    Equal keys keep the order of sources and, within a source, of arrival, whichever way the key
+    runs. Surplus rows of a quote are dropped before the shuffle: by Spark for small limits, and by
+    a first round over pieces of the quote for large ones.
     """
     if not include_excluded:
         rows = rows.filter("in_basis")
     key = F.col(sort_key) if sort_key == "price" else F.coalesce(F.col(sort_key), F.lit(""))
-    order = key.desc() if descending else key.asc()
-    window = Window.partitionBy("quote_id").orderBy(order, "item_id")
+    order = [key.desc() if descending else key.asc(), source_order(F.col("source"), sources), "source",
+             F.col("pos").asc_nulls_last()]
+    if limit > GROUP_LIMIT:
+        piece = Window.partitionBy("quote_id", F.pmod(F.xxhash64("source", "pos"), F.lit(SALTS))).orderBy(*order)
+        rows = rows.withColumn("place", F.row_number().over(piece)).filter(F.col("place") <= limit).drop("place")
+    window = Window.partitionBy("quote_id").orderBy(*order)
     return rows.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= limit)
 
 

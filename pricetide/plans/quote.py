@@ -10,10 +10,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import dims
@@ -23,59 +23,84 @@ from pricetide.session import cut_lineage
 
 
 def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """One row per quote: completed options and target keys. Quotes whose bounds cross are left out."""
-    valid, _ = clean.split_by_validity(options)
-    completed = clean.complete_options(valid)
+    """One row per quote that has options or a target: completed options, target keys, ``rejected``.
+
+    Every option is optional, and so is the row that holds them: what is missing has its default.
+    Quotes whose bounds cross are marked as rejected.
+    """
+    valid, crossed = clean.split_by_validity(options)
+    defaults = clean.default_terms()
+    rejected = crossed.select("quote_id", *[value.alias(name) for name, value in defaults.items()], F.lit(True).alias("rejected"))
+    completed = clean.complete_options(valid).withColumn("rejected", F.lit(False)).unionByName(rejected)
     if targets is None:
-        return completed.select(
-            "*",
-            F.lit(False).alias("has_target"),
-            match.empty_words().alias("models"),
-            F.array().cast("array<int>").alias("model_lengths"),
-            match.empty_words().alias("model_starts"),
-            match.empty_words().alias("aliases"),
-        )
+        return completed.select("*", *[value.alias(name) for name, value in no_target().items()])
     # Joined on a wrapped key, so that the result is not yet partitioned by quote_id: AQE splits a
     # skewed partition of the listings join only where both of its sides come from a shuffle.
     ready = match.complete_targets(targets).withColumn("key", F.struct("quote_id")).drop("quote_id")
-    return completed.withColumn("key", F.struct("quote_id")).join(ready, "key", "left").select(
-        *completed.columns,
-        F.coalesce("has_target", F.lit(False)).alias("has_target"),
-        F.coalesce("models", match.empty_words()).alias("models"),
-        F.coalesce("model_lengths", F.array().cast("array<int>")).alias("model_lengths"),
-        F.coalesce("model_starts", match.empty_words()).alias("model_starts"),
-        F.coalesce("aliases", match.empty_words()).alias("aliases"),
+    joined = completed.withColumn("key", F.struct("quote_id")).drop("quote_id").join(ready, "key", "full")
+    return joined.select(
+        F.col("key.quote_id").alias("quote_id"),
+        *[F.coalesce(name, value).alias(name) for name, value in all_defaults().items()],
     )
 
 
+def no_target() -> dict[str, Column]:
+    """The target keys of a quote without a target."""
+    return {
+        "has_target": F.lit(False),
+        "models": match.empty_words(),
+        "model_lengths": F.array().cast("array<int>"),
+        "model_starts": match.empty_words(),
+        "aliases": match.empty_words(),
+    }
+
+
+def all_defaults() -> dict[str, Column]:
+    return clean.default_terms() | {"rejected": F.lit(False)} | no_target()
+
+
+def title_keys(listings: DataFrame) -> DataFrame:
+    """Adds the normal and the folded form of each title, worth storing at ingest.
+
+    Spark takes the call that normalises for non-deterministic and pushes no filter past it. Over
+    listings that hold both forms, a filter on a quote reaches the scan.
+    """
+    normal = listings.withColumn("title_normal", tx.nfkc(F.col("title")))
+    squeezed = normal.withColumn("title_normal", tx.squeeze(F.col("title_normal")))
+    return squeezed.withColumn("title_folded", tx.fold_normal(F.col("title_normal")))
+
+
 def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
     """Adds ``excluded, exclude_reason, tier`` and the quote's settings to every listing.
 
     The join is an ordinary one on ``quote_id``: Spark broadcasts ``per_quote`` when it measures it
-    as small, and otherwise AQE splits the partition of a quote that holds very many listings.
+    as small, and otherwise AQE splits the partition of a quote that holds very many listings. A
+    listing of a quote without terms has the defaults; one of a rejected quote, or without any
+    quote, is left out. Columns of ``per_quote`` beyond the terms pass through.
     """
-    normal = listings.withColumn("title_normal", tx.nfkc(F.col("title")))
-    joined = normal.join(per_quote, "quote_id").withColumn(
-        "title_normal", tx.squeeze(F.col("title_normal"))
-    )
+    defaults = all_defaults()
+    further = [c for c in per_quote.columns if c not in defaults and c != "quote_id"]
+    keyed = listings if {"title_normal", "title_folded"} <= set(listings.columns) else title_keys(listings)
+    joined = keyed.where("quote_id is not null").join(per_quote, "quote_id", "left").where(
+        ~F.coalesce("rejected", F.lit(False))).withColumns(
+        {name: F.coalesce(name, value) for name, value in defaults.items()})
     reason = clean.exclusion_reason(
         F.col("title_normal"), F.col("price"), F.col("price_min"), F.col("price_max"),
         F.col("rules_on"), F.col("exclude_words"),
     )
     tier = match.match_tier(
-        F.col("folded"), F.col("models"), F.col("model_lengths"), F.col("model_starts"), F.col("aliases"))
+        F.col("title_folded"), F.col("models"), F.col("model_lengths"), F.col("model_starts"), F.col("aliases"))
     keep = [c for c in ("pos", "title") if c in listings.columns]
     is_listing = F.col("is_listing") if "is_listing" in listings.columns else F.lit(True)
     return (
         joined.withColumn("exclude_reason", reason)
-        .withColumn("folded", tx.fold_normal(F.col("title_normal")))
         .select(
             "quote_id", "source", *keep, "price",
             F.col("exclude_reason").isNotNull().alias("excluded"),
             "exclude_reason",
             F.when(F.col("has_target"), tier).otherwise(F.lit("loose")).alias("tier"),
             is_listing.alias("is_listing"),
-            "has_target", "remove_outliers", "iqr_k",
+            "has_target", "remove_outliers", "iqr_k", *further,
         )
     )
 
@@ -84,9 +109,14 @@ def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
 class QuoteJob:
     """``listings(quote_id, source, pos, title, price)`` with options, targets and input groups.
 
-    ``groups(quote_id, source, error)`` is optional: one row per pasted source, so that sources
-    without a single listing still appear. ``keep_counts`` checkpoints the price counts: worth it
+    ``groups(quote_id, source, error)`` is optional: a row per pasted source, so that sources without
+    a single listing still appear. Quotes are those of options, targets, groups and listings alike;
+    one without listings counts 0 and warns. ``keep_counts`` checkpoints the price counts: worth it
     where several results are taken from one job, since the listings are then classified once.
+    ``store_counts`` and ``with_counts`` do the same by a table in a folder of the caller's choice.
+
+    The plan relies on the settings of ``pricetide.session``: ``tune(spark)`` sets them on a session
+    that was built without them, else a hot quote's join partition stays in one piece.
     """
 
     listings: DataFrame
@@ -95,6 +125,32 @@ class QuoteJob:
     groups: DataFrame | None = None
     sources: list | None = None
     keep_counts: bool = False
+    counts: DataFrame | None = None
+
+    def only(self, quote_ids: list) -> QuoteJob:
+        """The same job for some quotes. All inputs are filtered first, so that the filter reaches their scans."""
+        def some(df: DataFrame | None) -> DataFrame | None:
+            return None if df is None else df.where(F.col("quote_id").isin(list(quote_ids)))
+
+        return replace(self, listings=some(self.listings), options=some(self.options), targets=some(self.targets),
+                       groups=some(self.groups), counts=some(self.counts))
+
+    def store_counts(self, path: str) -> None:
+        """Write the price counts as a table, for ``with_counts``."""
+        self.counted.write.mode("overwrite").parquet(path)
+
+    def with_counts(self, path: str) -> QuoteJob:
+        """The same job on stored counts: listings are read for ``rows`` only."""
+        return replace(self, counts=self.listings.sparkSession.read.parquet(path))
+
+    @cached_property
+    def source_groups(self) -> DataFrame | None:
+        """One row per quote and source, whatever ``groups`` holds."""
+        if self.groups is None:
+            return None
+        untitled = F.sum("untitled") if "untitled" in self.groups.columns else F.lit(0)
+        return self.groups.groupBy("quote_id", "source").agg(
+            F.max("error").alias("error"), untitled.cast("bigint").alias("untitled"))
 
     @property
     def source_list(self) -> list:
@@ -114,18 +170,19 @@ class QuoteJob:
 
     @cached_property
     def counted(self) -> DataFrame:
-        classified = self.classified
+        if self.counts is not None:
+            return self.counts
+        # a row that is no listing keeps its source visible, and one without a source its quote
+        empty = self.per_quote.select("quote_id", F.lit(None).cast("string").alias("source"))
         if self.groups is not None:
-            columns = ["quote_id", "source", "title", "price", "is_listing"]
-            rows = self.listings.withColumn("is_listing", F.lit(True)).select(*columns)
-            empty = self.groups.select(
-                "quote_id", "source",
-                F.lit(None).cast("string").alias("title"),
-                F.lit(None).cast("bigint").alias("price"),
-                F.lit(False).alias("is_listing"),
-            )
-            classified = classify(rows.unionByName(empty), self.per_quote)
-        counts = stats.price_counts(classified)
+            empty = empty.unionByName(self.groups.select("quote_id", "source"))
+        blank = empty.select(
+            "quote_id", "source", F.lit(None).cast("string").alias("title"),
+            F.lit(None).cast("bigint").alias("price"), F.lit(False).alias("is_listing"))
+        keys = [c for c in ("title_normal", "title_folded") if c in self.listings.columns]
+        rows = self.listings.select("quote_id", "source", "title", "price", F.lit(True).alias("is_listing"), *keys)
+        counts = stats.price_counts(classify(
+            rows.unionByName(blank.select("*", *[F.lit("").alias(k) for k in keys])), self.per_quote))
         return cut_lineage(counts) if self.keep_counts else counts
 
     @cached_property
@@ -154,16 +211,19 @@ class QuoteJob:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return warnings.quote_warnings(self.settled, self.groups, self.source_list)
+        return warnings.quote_warnings(self.settled, self.source_groups, self.source_list)
 
     @cached_property
     def rows(self) -> DataFrame:
-        """Every listing with its final state."""
-        return views.listing_rows(self.classified, stats.fences(self.settled), self.source_list)
+        """Every listing with its final state. Bounds travel with the terms, so listings are joined once."""
+        bounds = stats.fences_by_quote(self.settled).withColumn("key", F.struct("quote_id")).drop("quote_id")
+        fenced = self.per_quote.withColumn("key", F.struct("quote_id")).drop("quote_id").join(bounds, "key", "full").select(
+            F.col("key.quote_id").alias("quote_id"), *[c for c in self.per_quote.columns if c != "quote_id"], "fences")
+        return views.listing_rows(classify(self.listings, fenced), self.source_list)
 
     @cached_property
     def cards(self) -> DataFrame:
-        return views.source_cards(self.source_stats, self.groups, self.source_list)
+        return views.source_cards(self.source_stats, self.source_groups, self.source_list)
 
     def verdicts(self, tags: DataFrame) -> DataFrame:
         """Shop tags against these quotes; best with ``keep_counts``, as the counts are read twice."""

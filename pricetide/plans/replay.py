@@ -17,18 +17,24 @@ def quotes_from_pastes(
     entries: DataFrame | None = None,
     sources: list | None = None,
     keep_counts: bool = False,
+    page: str | None = None,
 ) -> QuoteJob:
-    """``pastes(quote_id, source, text)``, optionally with listings that need no parsing."""
+    """``pastes(quote_id, source, text)``, optionally with listings that need no parsing.
+
+    ``page`` names a column that orders the pages of a source; positions then run on over them, and
+    entries given directly come after the pages.
+    """
     parsed = parse.parse_pastes(pastes)
-    listings = parse.entries(parsed).select("quote_id", "source", "pos", "title", "price")
+    listings = parse.entries(parsed, page).select("quote_id", "source", "pos", "title", "price")
     groups = parse.report_by_source(parsed)
     if entries is not None:
-        listings = listings.unionByName(entries.select(*listings.columns))
-        direct = parse.direct_report(entries).select(
-            "quote_id", "source", *[F.col(c).cast("bigint").alias(c) for c in ("lines", "prices_found", "untitled")],
-            "error",
-        )
-        groups = groups.unionByName(direct)
+        direct = parse.direct_report(entries)
+        pasted = groups.select("quote_id", "source", F.col("prices_found").alias("before"))
+        placed = entries.join(pasted, ["quote_id", "source"], "left").withColumn(
+            "pos", F.col("pos") + F.coalesce("before", F.lit(0)))
+        listings = listings.unionByName(placed.select(*listings.columns))
+        counts = ["quote_id", "source", "lines", "prices_found", "untitled"]
+        groups = parse.merged_reports(groups.select(*counts).unionByName(direct.select(*counts)))
     return QuoteJob(listings, options, targets, groups, sources, keep_counts)
 
 

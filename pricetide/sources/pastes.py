@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``quote_id, source, text`` from ``<folder>/<quote_id>/<source>.txt``."""
+    """``quote_id, source, text`` from ``<folder>/<quote_id>/<source>.txt``. Paths are URIs and are decoded."""
     files = spark.read.text(f"{folder}/*/*.txt", wholetext=True)
     path = F.split(F.col("_metadata.file_path"), "/")
+
+    def part(place: int):
+        # url_decode would read a plus sign as a space
+        return F.url_decode(F.replace(F.element_at(path, place), F.lit("+"), F.lit("%2B")))
+
     return files.select(
-        F.element_at(path, -2).alias("quote_id"),
-        F.regexp_replace(F.element_at(path, -1), r"\.txt$", "").alias("source"),
+        part(-2).alias("quote_id"),
+        F.regexp_replace(part(-1), r"\.txt$", "").alias("source"),
         F.col("value").alias("text"),
     )
 

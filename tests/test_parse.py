@@ -41,7 +41,7 @@ def pairs(row):
 def test_extract_price(column_values):
     lines = ["¥12,800", "12,800円", "12800円", "送料込み", "即決 32,000円 落札 18,500円", "1円スタート 現在 18,500円",
              "¥1", "落札 価格は別 ¥5,000", f"¥{'9' * 30} ¥500"]
-    assert column_values(parse.extract_price, lines) == [12800, 12800, 12800, None, 18500, 18500, 1, 5000, 500]
+    assert column_values(parse.extract_price, lines) == [12800, 12800, 12800, None, 18500, 18500, 1, 5000, parse.HUGE]
 
 
 CASES = {
