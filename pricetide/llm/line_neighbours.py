@@ -5,7 +5,8 @@ of ``NEAR_WORDS`` words or more that differ by one inserted, deleted or replaced
 Of copies the earliest line stays; a line with an earlier near copy goes. Earliest means smallest
 doc_id (null last), then text hash, then place in the text.
 
-1. Copies: lines shrink to different lines, known by 128 hash bits, with their earliest place.
+1. Copies: one scan turns texts into a table of lines known by 128 hash bits, without any text; it
+   shrinks to different lines with their earliest place.
 2. Only lines that agree with another in their first or last half can be one word apart; a count of
    hashed halves (four per line) finds them. The others need no neighbourhood.
 3. Every variant with one word left out is emitted as a hash key. Left-out words come from running
@@ -25,59 +26,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.text import bound
-from pricetide.llm.words import fresh, stored, text_key, words_of, written
+from pricetide.functions.text import bound, contains_any
+from pricetide.llm.words import BLANKS, fresh, stored, text_key, written
 
 NEAR_WORDS = 8
+BROADCAST_LINES = 500_000
 
 
-def lines_of(docs: DataFrame, *extra: Column) -> DataFrame:
-    """doc_id, a and b (text key), place, h1 and h2 (line key), words: a row per line with a word."""
+def tidy(line: Column) -> Column:
+    """A line's words with one space between them; a pattern runs only on lines that are untidy."""
+    untidy = contains_any(line, ["  ", "\t", "\x0b", "\f", "\r"])
+    return F.trim(F.when(untidy, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, a and b (text key), place, line (tidy), h1 and h2 (line key): a row per line with a word."""
     cut = docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("k"), F.posexplode(
-        F.split(F.coalesce(docs["text"], F.lit("")), "\n")).alias("place", "line"))
-    split = cut.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0)
-    joined = F.array_join("words", " ")
-    return split.select("doc_id", "k.a", "k.b", "place", F.xxhash64(joined).alias("h1"),
-                        F.xxhash64(F.lit(7), joined).alias("h2"), "words")
+        F.split(F.coalesce(docs["text"], F.lit("")), "\n")).alias("place", "raw"))
+    lines = cut.select("doc_id", "k.a", "k.b", "place", tidy(F.col("raw")).alias("line")).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def order() -> Column:
     """A line's rank among all lines, as a struct that compares field by field."""
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("a").alias("a"),
-                    F.col("b").alias("b"), F.col("place").alias("place"))
+                    F.col("place").alias("place"))
 
 
-def halves(words: Column) -> Column:
-    """Hashes of the halves of which a line one word apart must share one."""
-    n = F.size(words)
+def halves(line: Column, n: Column) -> Column:
+    """Hashes of the halves of which a line of ``n`` words must share one with a line one word apart."""
     keys = []
     for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit("first"), m, F.slice(words, F.lit(1), m)),
-                 F.xxhash64(F.lit("last"), m, F.slice(words, n - m + 1, m))]
+        keys += [F.xxhash64(F.lit("first"), m, F.call_function("substring_index", line, F.lit(" "), m)),
+                 F.xxhash64(F.lit("last"), m, F.call_function("substring_index", line, F.lit(" "), -m))]
     return F.array_distinct(F.array(*keys))
 
 
-def different_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, rank of the earliest, n_words, halves (null for lines too short to have near copies)."""
-    keys = F.when(F.size("words") >= NEAR_WORDS, bound(F.col("words"), halves))
-    rows = lines.select("h1", "h2", order().alias("rank"), keys.alias("halves"))
-    return rows.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.first("halves").alias("halves"))
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b, place, h1, h2 and halves (null for lines too short to have near copies); no text."""
+    lines = lines_of(docs).withColumn(
+        "n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return lines.select("doc_id", "a", "b", "place", "h1", "h2",
+                        F.when(F.col("n") >= NEAR_WORDS, halves(F.col("line"), F.col("n"))).alias("halves"))
+
 
+def suspects(table: DataFrame) -> DataFrame:
+    """h1 and h2 of lines that share a half with a different line."""
+    keyed = table.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    return keyed.join(shared, "half").select("h1", "h2").distinct()
 
-def suspects(different: DataFrame) -> DataFrame:
-    """h1, h2 and rank of lines that share a half with another line."""
-    keyed = different.where("halves is not null").select("h1", "h2", "rank", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = keyed.join(shared, "half").groupBy("h1", "h2").agg(F.min("rank").alias("rank"))
-    return found
 
+def with_words(docs: DataFrame, chosen: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
+    """h1, h2, rank and the words of the chosen lines (h1, h2, rank), read at their earliest place.
 
-def with_words(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """h1, h2, rank and the words of the chosen lines, from their earliest place."""
-    ours = chosen.withColumnsRenamed({"h1": "c1", "h2": "c2"})
-    here = lines.withColumn("here", order())
+    Up to ``limit`` chosen lines are sent to all tasks; more of them meet the lines in a shuffle.
+    """
+    ours = chosen.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rank")
+    ours = F.broadcast(ours) if chosen.count() <= limit else ours
+    here = lines_of(docs).withColumn("here", order()).select("h1", "h2", "here", "line")
     found = here.join(ours, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("here") == F.col("rank")))
-    return found.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.first("words").alias("words"))
+    # repeated rows bring the same place more than once
+    return found.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.split(F.first("line"), " ").alias("words"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -143,28 +153,30 @@ def near_copies(lines: DataFrame) -> DataFrame:
     return both.where(one_apart(F.col("words"), F.col("earlier"))).select("h1", "h2").distinct()
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b, place, copy and near: a row per line with a word, of each different (id, text)."""
-    lines = lines_of(docs.select("doc_id", "text"))
-    different = stored(different_lines(lines))
-    chosen = stored(with_words(lines, stored(suspects(different))))
-    near = stored(near_copies(chosen)).withColumn("near", F.lit(True))
-    fates = different.select("h1", "h2", "rank").join(near, ["h1", "h2"], "left")
-    keys = lines.select("doc_id", "a", "b", "place", "h1", "h2")
-    told = keys.join(fates, ["h1", "h2"])
+def judged(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
+    """doc_id, a, b, place, copy and near: a row per line with a word."""
+    texts = docs.select("doc_id", "text")
+    table = written(line_table(texts), "lines")
+    different = written(table.groupBy("h1", "h2").agg(F.min(order()).alias("rank")), "different-lines")
+    chosen = stored(different.join(suspects(table), ["h1", "h2"]))
+    near = stored(near_copies(stored(with_words(texts, chosen, limit)))).withColumn("near", F.lit(True))
+    fates = different.join(near, ["h1", "h2"], "left")
+    told = table.select("doc_id", "a", "b", "place", "h1", "h2").join(fates, ["h1", "h2"])
     return told.select("doc_id", "a", "b", "place", (order() != F.col("rank")).alias("copy"),
                        F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def summary(docs: DataFrame) -> DataFrame:
+def summary(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
     """Per different (id, text): n_lines, n_copies, n_near and gone, the places of dropped lines in order."""
-    rows = judged(docs).select("*", (F.col("copy") | F.col("near")).alias("drop"))
-    # repeated rows bring every place as often as they occur
-    rows = rows.groupBy("doc_id", "a", "b", "place").agg(
-        F.first("copy").alias("copy"), F.first("near").alias("near"), F.first("drop").alias("drop"))
-    return rows.groupBy("doc_id", "a", "b").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy") & F.col("near")).alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("drop"), F.col("place")))).alias("gone"))
+    def places(which: Column) -> Column:
+        # sets, since repeated rows bring every place as often as they occur
+        return F.collect_set(F.when(which, F.col("place")))
+
+    copy, near = F.col("copy"), F.col("near")
+    rows = judged(docs, limit).groupBy("doc_id", "a", "b").agg(
+        F.size(places(F.lit(True))).cast("long").alias("n_lines"), F.size(places(copy)).cast("long").alias("n_copies"),
+        F.sort_array(places(copy | near)).alias("gone"))
+    return rows.withColumn("n_near", F.size("gone") - F.col("n_copies"))
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -174,34 +186,46 @@ def without(lines: Column, gone: Column) -> Column:
     return bound(lines, lambda all_: F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(all_, s + 1, e - s))))
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """The input's rows with ``text`` rid of dropped lines and n_lines, n_copies, n_near (names replaced)."""
-    names = ["doc_id", "a", "b", "n_lines", "n_copies", "n_near", "gone"]
-    made = fresh(*names)
-    of = {n: F.col(m) for n, m in zip(names, made)}
-    found = stored(summary(docs)).select(*[F.col(n).alias(m) for n, m in zip(names, made)])
+COUNTS = ["n_lines", "n_copies", "n_near"]
+
+
+def attached(docs: DataFrame, limit: int = BROADCAST_LINES) -> tuple[DataFrame, dict[str, str]]:
+    """The input's rows with their summary, and the names under which it stands."""
+    names = ["doc_id", "a", "b", "gone", *COUNTS]
+    of = dict(zip(names, fresh(*names)))
+    key_a, key_b = fresh("a", "b")
+    found = stored(summary(docs, limit)).select(*[F.col(n).alias(m) for n, m in of.items()])
     key = text_key(docs["text"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(of["doc_id"]) & (key["a"] == of["a"]) & (key["b"] == of["b"]), "left")
-    text = F.when(F.size(of["gone"]) > 0, F.array_join(without(F.split(docs["text"], "\n"), of["gone"]), "\n")).otherwise(docs["text"])
-    counts = ["n_lines", "n_copies", "n_near"]
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts],
-                         *[F.coalesce(of[c], F.lit(0).cast("long")).alias(c) for c in counts])
+    rows = docs.select("*", key["a"].alias(key_a), key["b"].alias(key_b))
+    match = docs["doc_id"].eqNullSafe(F.col(of["doc_id"])) & (F.col(key_a) == F.col(of["a"])) & (F.col(key_b) == F.col(of["b"]))
+    return rows.join(found, match, "left"), of
+
+
+def deduped(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
+    """The input's rows with ``text`` rid of dropped lines and n_lines, n_copies, n_near (names replaced)."""
+    rows, of = attached(docs, limit)
+    gone = F.col(of["gone"])
+    text = F.when(F.size(gone) > 0, F.array_join(without(F.split(docs["text"], "\n"), gone), "\n")).otherwise(docs["text"])
+    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in COUNTS],
+                       *[F.coalesce(of[c], F.lit(0)).cast("long").alias(c) for c in COUNTS])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8 over the whole ``documents`` table."""
-    rows = deduped(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", "n_copies", "n_near",
-                       (F.col("n_lines") - F.col("n_copies") - F.col("n_near")).alias("n_kept"),
-                       F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"),
-                       F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"))
+    """op8 over the whole ``documents`` table: which lines of each document go, by their places from 0."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows, of = attached(docs)
+    counts = {c: F.coalesce(of[c], F.lit(0)).cast("long") for c in COUNTS}
+    return rows.select(
+        "doc_id", *[value.alias(c) for c, value in counts.items()],
+        (counts["n_lines"] - counts["n_copies"] - counts["n_near"]).alias("n_kept"),
+        F.coalesce(F.array_join(of["gone"], ","), F.lit("")).alias("gone"))
 
 
 ORACLE = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (
-  SELECT r, doc_id, place, ls[place] AS raw,
+  SELECT r, doc_id, place,
          list_filter(string_split_regex(ls[place], '[ 	-
 ]+'), lambda x: x <> '') AS w
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS place FROM d)),
@@ -221,10 +245,9 @@ f AS (
   SELECT t.r, t.place, t.rank <> u.rank AS copy, near.line IS NOT NULL AS near
   FROM t JOIN u USING (line) LEFT JOIN near USING (line)),
 k AS (
-  SELECT l.r, string_agg(raw, chr(10) ORDER BY place) FILTER (NOT coalesce(copy OR near, false)) AS kept,
+  SELECT l.r, string_agg((place - 1)::VARCHAR, ',' ORDER BY place) FILTER (copy OR near) AS gone,
          count(copy) AS n_lines, count(*) FILTER (copy) AS n_copies, count(*) FILTER (NOT copy AND near) AS n_near
   FROM l LEFT JOIN f USING (r, place) GROUP BY l.r)
-SELECT doc_id, n_lines, n_copies, n_near, n_lines - n_copies - n_near AS n_kept, md5(coalesce(kept, '')) AS kept_md5,
-       strlen(coalesce(kept, ''))::BIGINT AS kept_bytes
+SELECT doc_id, n_lines, n_copies, n_near, n_lines - n_copies - n_near AS n_kept, coalesce(gone, '') AS gone
 FROM d JOIN k USING (r)
 """
