@@ -109,14 +109,14 @@ def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text"
         F.coalesce(F.split("hit.folded", " "), _no_words()), F.col("t_models"), F.col("t_sizes"),
         F.transform("t_materials", F.upper),
     )
-    worded = modelled.withColumn("consumed", consumed).withColumn(
+    # array_except keeps the order, drops repeats and looks words up by hash
+    worded = modelled.withColumn(
         "t_keywords",
-        F.slice(F.array_distinct(F.filter(_words(F.col("folded")), lambda w: (
+        F.slice(F.filter(F.array_except(_words(F.col("folded")), consumed), lambda w: (
             (tx.utf16_length(w) >= 2)
-            & ~F.array_contains("consumed", w)
             & ~w.isin(dims.STOP_WORDS)
             & ~F.rlike(w, F.lit(r"[\d%]"))
-        ))), 1, dims.MAX_KEYWORDS),
+        )), 1, dims.MAX_KEYWORDS),
     )
     if hints is None:
         merged = worded.select(
@@ -150,7 +150,7 @@ def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text"
     )
     return merged.withColumn("known", known).select(
         *keys, "brand", "model_numbers", "sizes", "made_in", "materials",
-        F.filter("t_keywords", lambda w: ~F.array_contains("known", w)).alias("keywords"), "raw",
+        F.array_except("t_keywords", "known").alias("keywords"), "raw",
     )
 
 

@@ -23,14 +23,14 @@ def close_code_gaps(line: Column) -> Column:
 
 def is_useful(line: Column) -> Column:
     """At least three meaningful letters, which make up half of the line."""
-    good = tx.meaningful_count(line)
-    return (good >= 3) & (good * 2 >= tx.utf16_length(line))
+    return tx.bound(tx.meaningful_count(line), lambda good: (good >= 3) & (good * 2 >= tx.utf16_length(line)))
 
 
 def useful_lines(normal: Column) -> Column:
     """Cleaned lines of NFKC text, without noise and without a line that repeats the one before."""
     def tidy(line: Column) -> Column:
-        spaced = tx.strip(F.regexp_replace(line, "[ \t]+", " "))
+        wide = tx.contains_any(line, ["  ", "\t"])
+        spaced = tx.strip(F.when(wide, F.regexp_replace(line, "[ \t]+", " ")).otherwise(line))
         return tx.bound(tx.bound(spaced, close_japanese_gaps), close_code_gaps)
 
     useful = F.filter(F.transform(F.split(normal, "\r?\n"), tidy), is_useful)

@@ -7,11 +7,14 @@ lost executor or driver never leaves a half-written day behind.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide import dims
 
+FILES = 8  # of one day, per save
 LISTED = ["id", "query", "created_at", "note", "summary"]
 
 
@@ -36,7 +39,12 @@ def summary(quotes: DataFrame, source_stats: DataFrame, sources: list[tuple]) ->
             e["median"].alias("median"), e["count"].alias("count"))).alias("per_source"),
     )
     stat_names = ["count", "min", "p25", "median", "p75", "max", "mean", "stdev", "iqr"]
-    return quotes.join(per_source, "quote_id").select(
+    # a quote without any listing has no entry
+    nothing = F.filter(F.array(F.struct(
+        F.lit("").alias("source"), F.lit("").alias("label"), F.lit(None).cast("bigint").alias("median"),
+        F.lit(None).cast("bigint").alias("count"))), lambda e: F.lit(False))
+    return quotes.join(per_source, "quote_id", "left").withColumn(
+        "per_source", F.coalesce("per_source", nothing)).select(
         "quote_id",
         F.struct(
             F.struct("equal_weight_median", "equal_weight_mean", "weighted_mean", "sources_used").alias("blend"),
@@ -77,11 +85,17 @@ class RecordStore:
         self.deleted = f"{folder}/deleted"
 
     def save(self, rows: DataFrame) -> None:
-        dated = rows.withColumn("created_date", F.to_date("created_at"))
-        dated.write.mode("append").partitionBy("created_date").parquet(self.data)
+        self._write(rows.withColumn("created_date", F.to_date("created_at")), "append")
+
+    def _write(self, dated: DataFrame, mode: str) -> None:
+        """A day becomes at most ``FILES`` files, whatever the number of tasks."""
+        part = F.pmod(F.xxhash64("id"), F.lit(FILES))
+        dated.repartition("created_date", part).write.mode(mode).partitionBy("created_date").parquet(self.data)
 
     def read(self) -> DataFrame:
-        rows = self.spark.read.parquet(self.data)
+        return self._kept(self.spark.read.parquet(self.data))
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
         tombstones = self._tombstones()
         return rows if tombstones is None else rows.join(tombstones, "id", "left_anti")
 
@@ -98,7 +112,12 @@ class RecordStore:
         return latest(self.read(), limit)
 
     def get(self, record: str) -> DataFrame:
-        return self.read().filter(F.col("id") == record)
+        """One record. Its id begins with its day, so that only that day's folder is opened."""
+        rows = self.spark.read.parquet(self.data).filter(F.col("id") == record)
+        day = re.match(r"(\d{4})(\d\d)(\d\d)-", record)
+        if day:
+            rows = rows.filter(F.col("created_date") == F.lit("-".join(day.groups())).cast("date"))
+        return self._kept(rows)
 
     def delete(self, ids: DataFrame) -> None:
         ids.select("id").distinct().write.mode("append").parquet(self.deleted)
@@ -106,7 +125,7 @@ class RecordStore:
     def compact(self, folder: str) -> "RecordStore":
         """A copy without deleted records, in a new folder, for readers to switch to."""
         fresh = RecordStore(self.spark, folder)
-        self.read().write.mode("error").partitionBy("created_date").parquet(fresh.data)
+        fresh._write(self.read(), "error")
         return fresh
 
 

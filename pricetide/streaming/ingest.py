@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.operators import parse
+from pricetide.plans.quote import title_keys
 
 PASTES = "quote_id string, source string, text string"
 
@@ -19,8 +20,8 @@ def read_pastes(spark: SparkSession, folder: str, schema: str = PASTES) -> DataF
 
 
 def append_listings(pastes: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Parse arriving pastes into a Parquet listings table."""
-    listings = parse.entries(parse.parse_pastes(pastes))
+    """Parse arriving pastes into a Parquet listings table that holds the title keys as well."""
+    listings = title_keys(parse.entries(parse.parse_pastes(pastes)))
     return (
         listings.writeStream.format("parquet")
         .option("path", folder)

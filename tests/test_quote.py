@@ -240,3 +240,66 @@ def test_shown_rows(job):
 def test_long_item_ids_are_not_cut(job):
     rows = [("q", "yahoo", 7, "x", 5000), ("q", "yahoo", 123456, "x", 5000)]
     assert {r.item_id for r in job(rows).rows.collect()} == {"yahoo-0007", "yahoo-123456"}
+
+
+def test_listings_and_quotes_without_options(spark):
+    listings = spark.createDataFrame(
+        [("bare", "yahoo", i, "手袋", p) for i, p in enumerate([700, 900, None, 100])] + [("crossed", "yahoo", 0, "手袋", 800)],
+        "quote_id string, source string, pos bigint, title string, price bigint")
+    options = spark.createDataFrame([("empty", "x", None, None), ("crossed", "x", 9, 5)],
+                                    "quote_id string, query string, price_min bigint, price_max bigint")
+    targets = spark.createDataFrame([("wanted", "ナイキ", None)], "quote_id string, brand string, model_numbers array<string>")
+    job = QuoteJob(listings, options, targets, sources=SOURCES)
+    quotes = {r.quote_id: r for r in job.quotes.collect()}
+    assert {k: q.combined_count for k, q in quotes.items()} == {"bare": 2, "empty": 0, "wanted": 0}
+    assert quotes["wanted"].has_target and quotes["wanted"].sources_used == []
+    warned = {r.quote_id: r.warnings for r in job.warnings.collect()}
+    assert len(warned["empty"]) == 1 and "貼り付けて" in warned["empty"][0] and len(warned["wanted"]) == 2
+    assert [r.quote_id for r in job.rejects.collect()] == ["crossed"]
+    assert {(r.quote_id, r.source) for r in job.source_stats.collect()} == {("bare", "yahoo")}
+    rows = {r.pos: r for r in job.rows.collect()}
+    assert not rows[2].in_basis and rows[2].status == rows[3].status and "下限価格" in rows[2].status
+    assert sum(r.in_basis for r in rows.values()) == sum(r["count"] for r in job.source_stats.collect()) == 2
+
+
+def test_pages_entries_and_one_row_per_source(spark):
+    pastes = spark.createDataFrame(
+        [("q", "yahoo", 1, "¥700\n手袋B"), ("q", "yahoo", 0, "¥600\n手袋A\n¥650\n手袋C"), ("q", "mercari", 0, "つながりません")],
+        "quote_id string, source string, page int, text string")
+    entries = spark.createDataFrame([("q", "yahoo", 0, "手袋D", 800), ("q", "mercari", 0, "手袋E", 900)],
+                                    "quote_id string, source string, pos bigint, title string, price bigint")
+    options = spark.createDataFrame([("q", "x")], "quote_id string, query string")
+    job = quotes_from_pastes(pastes, options, entries=entries, sources=SOURCES, page="page")
+    ids = {r.item_id: r.title for r in job.rows.collect()}
+    assert ids == {"yahoo-0000": "手袋A", "yahoo-0001": "手袋C", "yahoo-0002": "手袋B", "yahoo-0003": "手袋D", "mercari-0000": "手袋E"}
+    cards = {r.source: r for r in job.cards.collect()}
+    assert len(cards) == 2 and cards["mercari"].error is None and cards["yahoo"].read == 4
+
+
+def test_stored_counts_give_the_same_results(job, tmp_path):
+    j = job(rows_of("yahoo", [5000, 5100, 5200, 5300, 90000]) + rows_of("mercari", [4000, 6000]))
+    j.store_counts(str(tmp_path / "counts"))
+    stored = j.with_counts(str(tmp_path / "counts"))
+    assert stored.quotes.collect() == j.quotes.collect()
+    assert sorted(stored.rows.collect()) == sorted(j.rows.collect())
+
+
+def test_rows_beyond_the_group_limit_and_ties(job, monkeypatch):
+    rows = rows_of("mercari", [500 + i % 3 for i in range(40)]) + rows_of("yahoo", [500 + i % 3 for i in range(40)])
+    frame = job(rows).rows
+    want = [(r.item_id, r.place) for r in views.shown_rows(frame, limit=30, sources=SOURCES).collect()]
+    assert want[0] == ("yahoo-0000", 1) and want[1] == ("yahoo-0003", 2)
+    monkeypatch.setattr(views, "GROUP_LIMIT", 5)
+    got = [(r.item_id, r.place) for r in views.shown_rows(frame, limit=30, sources=SOURCES).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_both_ways_to_find_models_agree(spark):
+    from pricetide.operators import match
+    titles = spark.createDataFrame([("コートAB12345",), ("XY99999コート",), ("AB1234",), ("",)], "title string")
+    models = ["AB12345", "XY99999"]
+    few = F.array(*[F.lit(m) for m in models])
+    many = F.array(*[F.lit(m) for m in models + [f"QQ{i:05d}" for i in range(40)]])
+    lengths, starts = F.array(F.lit(7)), F.array(F.lit("AB"), F.lit("XY"), F.lit("QQ"))
+    got = titles.select(*[match._holds_model(F.col("title"), m, lengths, starts).alias(n) for n, m in (("few", few), ("many", many))]).collect()
+    assert [r.few for r in got] == [r.many for r in got] == [True, True, False, False]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide.operators import stats, verdict
-from pricetide.plans.quote import QuoteJob
+from pricetide.plans.quote import QuoteJob, title_keys
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -118,3 +118,25 @@ def test_scan_reads_only_what_is_needed(spark):
     scans = re.findall(r"ReadSchema: struct<([^>]*)", plan)
     line = next(s for s in scans if "l_suppkey" in s)
     assert "l_tax" not in line and "l_shipdate" not in line
+
+
+def test_filter_on_a_quote_reaches_the_listings_scan(spark, hot, tmp_path):
+    rows, quotes, targets = hot
+    title_keys(rows).write.parquet(str(tmp_path / "listings"))
+    listings = spark.read.parquet(str(tmp_path / "listings"))
+    job = QuoteJob(listings, quotes, targets).only([7])
+    tags = spark.createDataFrame([(1, 7, 4000, "normal")], "tag_id int, quote_id bigint, shop_price bigint, condition string")
+    for df in (job.quotes, job.rows, job.verdicts(tags), QuoteJob(listings, quotes, targets).quotes.where("quote_id = 7")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "title_folded" in line and "PushedFilters" in line]
+        assert scans and all(re.search(r"PushedFilters: \[[^\]]*quote_id", line) for line in scans)
+    want = QuoteJob(rows, quotes, targets).quotes.where("quote_id = 7").collect()
+    assert job.quotes.collect() == want
+
+
+def test_rows_shuffle_titles_once(spark, hot):
+    rows, quotes, targets = hot
+    with settings(spark, SMALL):
+        plan = QuoteJob(rows, quotes, targets).rows._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert sum("quote_id" in line and "source" in line for line in joins) == 0

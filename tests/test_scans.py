@@ -46,3 +46,13 @@ def test_dictionaries(spark):
     assert [len(a.folded) for a in aliases] == sorted((len(a.folded) for a in aliases), reverse=True)
     assert [r.source for r in dictionary.sources(spark).orderBy("ordinal").collect()] == ["yahoo", "mercari"]
     assert dictionary.conditions(spark).filter("condition = 'normal'").first().quantile == 0.5
+
+
+def test_paste_folders_with_blanks_and_kana(spark):
+    top = tempfile.mkdtemp(prefix="run-")
+    for quote, source in (("検索 1", "フリマ"), ("a+b%20c", "x y")):
+        os.makedirs(f"{top}/{quote}")
+        with open(f"{top}/{quote}/{source}.txt", "w", encoding="utf-8") as f:
+            f.write("¥700\n手袋")
+    got = {(r.quote_id, r.source) for r in pastes.read_text_files(spark, top).collect()}
+    assert got == {("検索 1", "フリマ"), ("a+b%20c", "x y")}

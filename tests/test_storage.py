@@ -139,3 +139,15 @@ def test_direct_entries_have_a_report(spark):
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert sorted(r.x for r in cut_lineage(df).collect()) == list(range(0, 20, 2))
+
+
+def test_one_record_opens_one_day(spark):
+    store = records.RecordStore(spark, folder())
+    store.save(saved(spark))
+    record = store.latest().first().id
+    one = store.get(record)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r.id for r in one.collect()] == [record] and store.get("unknown").count() == 0
+    days = glob.glob(f"{store.data}/created_date=*")
+    assert len(days) == 3 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in days)
