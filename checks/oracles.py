@@ -342,13 +342,13 @@ judged AS (
 sure AS (
   SELECT *, CASE WHEN n < 5 THEN 'low' WHEN score0 >= 4 AND basis_tier = 'model' THEN 'high'
                  WHEN score0 >= 2 THEN 'medium' ELSE 'low' END AS level0,
-    CASE basis_tier WHEN 'model' THEN '品番が一致した出品だけで計算している'
-      WHEN 'brand' THEN 'ブランドしか一致していない。別の型が混ざっている可能性がある'
-      ELSE '商品を特定していないため、何が混ざっているか分からない' END AS why_tier,
-    CASE WHEN n >= 12 THEN n || ' 件で計算している' WHEN n >= 8 THEN n || ' 件。もう少し集めると安定する'
-      WHEN n >= 5 THEN n || ' 件。中央値が 1〜2 件の差で動く' ELSE n || ' 件しかない。相場と呼べる数ではない' END AS why_n,
-    CASE WHEN spread0 <= 0.5 AND n >= 8 THEN '価格のばらつきが小さい'
-      WHEN spread0 > 1.0 THEN '価格のばらつきが大きい。状態やサイズの差が効いている' END AS why_spread,
+    CASE basis_tier WHEN 'model' THEN '{dims.WHY_MODEL}'
+      WHEN 'brand' THEN '{dims.WHY_BRAND}'
+      ELSE '{dims.WHY_ALL}' END AS why_tier,
+    CASE WHEN n >= 12 THEN n || '{dims.WHY_MANY}' WHEN n >= 8 THEN n || '{dims.WHY_SOME}'
+      WHEN n >= 5 THEN n || '{dims.WHY_FEW}' ELSE n || '{dims.WHY_TOO_FEW}' END AS why_n,
+    CASE WHEN spread0 <= 0.5 AND n >= 8 THEN '{dims.WHY_TIGHT}'
+      WHEN spread0 > 1.0 THEN '{dims.WHY_LOOSE}' END AS why_spread,
     CASE WHEN n >= 12 THEN 'good' WHEN n >= 8 THEN 'neutral' ELSE 'warning' END AS tone_n,
     CASE WHEN spread0 <= 0.5 AND n >= 8 THEN 'good' ELSE 'warning' END AS tone_spread,
     CASE band WHEN 'bargain' THEN 'good' WHEN 'cheap' THEN 'good' WHEN 'fair' THEN 'neutral'

@@ -99,10 +99,14 @@ def exclusion_reason(
     exclude_words: Column,
 ) -> Column:
     """Null for a listing that counts. Guards come first, then rules in order, then user words."""
+    def around(wording: str, bound: Column) -> Column:
+        head, tail = wording.split("{}")
+        return F.concat(F.lit(head), money.grouped(bound), F.lit(tail))
+
     reason = F.when(
-        price.isNull() | (price < price_min), F.concat(F.lit("下限価格("), money.grouped(price_min), F.lit("円)未満"))
+        price.isNull() | (price < price_min), around(dims.BELOW_GUARD, price_min)
     ).when(
-        price > price_max, F.concat(F.lit("上限価格("), money.grouped(price_max), F.lit("円)超"))
+        price > price_max, around(dims.ABOVE_GUARD, price_max)
     )
     for rule, (_, why) in enumerate(dims.EXCLUSION_RULES):
         reason = reason.when(F.get(rules_on, F.lit(rule)) & rule_matches(title, rule), F.lit(why))

@@ -71,18 +71,18 @@ def confidence(tier: Column, count: Column, median: Column, iqr: Column) -> Colu
         .otherwise(F.lit("low"))
     )
     about_tier = (
-        F.when(by_model, reason("good", F.lit("品番が一致した出品だけで計算している")))
-        .when(by_brand, reason("warning", F.lit("ブランドしか一致していない。別の型が混ざっている可能性がある")))
-        .otherwise(reason("warning", F.lit("商品を特定していないため、何が混ざっているか分からない")))
+        F.when(by_model, reason("good", F.lit(dims.WHY_MODEL)))
+        .when(by_brand, reason("warning", F.lit(dims.WHY_BRAND)))
+        .otherwise(reason("warning", F.lit(dims.WHY_ALL)))
     )
     about_count = (
-        F.when(count >= 12, reason("good", n, F.lit(" 件で計算している")))
-        .when(count >= 8, reason("neutral", n, F.lit(" 件。もう少し集めると安定する")))
-        .when(count >= 5, reason("warning", n, F.lit(" 件。中央値が 1〜2 件の差で動く")))
-        .otherwise(reason("warning", n, F.lit(" 件しかない。相場と呼べる数ではない")))
+        F.when(count >= 12, reason("good", n, F.lit(dims.WHY_MANY)))
+        .when(count >= 8, reason("neutral", n, F.lit(dims.WHY_SOME)))
+        .when(count >= 5, reason("warning", n, F.lit(dims.WHY_FEW)))
+        .otherwise(reason("warning", n, F.lit(dims.WHY_TOO_FEW)))
     )
-    about_spread = F.when(tight, reason("good", F.lit("価格のばらつきが小さい"))).when(
-        loose, reason("warning", F.lit("価格のばらつきが大きい。状態やサイズの差が効いている"))
+    about_spread = F.when(tight, reason("good", F.lit(dims.WHY_TIGHT))).when(
+        loose, reason("warning", F.lit(dims.WHY_LOOSE))
     )
     label = F.when(level == "high", F.lit("高い")).when(level == "medium", F.lit("ふつう")).otherwise(F.lit("低い"))
     return F.struct(
@@ -92,6 +92,9 @@ def confidence(tier: Column, count: Column, median: Column, iqr: Column) -> Colu
     )
 
 
+STRETCH = 4096  # yen
+
+
 def cheaper_counts(points: DataFrame, prices: DataFrame) -> DataFrame:
     """For each distinct (quote_id, shop_price): how many listings are strictly cheaper.
 
@@ -103,13 +106,20 @@ def cheaper_counts(points: DataFrame, prices: DataFrame) -> DataFrame:
     )
     kind = points.schema["shop_price"].dataType
     listed = prices.select("quote_id", F.col("price").cast(kind).alias("value"), F.lit(1).alias("is_price"), "n")
-    so_far = Window.partitionBy("quote_id").orderBy("value", "is_price").rowsBetween(
+    # counted within stretches of values first: neither the tags nor the prices of a quote meet in one task
+    rows = probes.unionByName(listed).withColumn("stretch", F.coalesce(F.floor(F.col("value") / STRETCH), F.lit(-1)))
+    so_far = Window.partitionBy("quote_id", "stretch").orderBy("value", "is_price").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("quote_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = listed.withColumn("stretch", F.coalesce(F.floor(F.col("value") / STRETCH), F.lit(-1))).groupBy(
+        "quote_id", "stretch").agg(F.sum("n").alias("n"))
+    starts = rows.select("quote_id", "stretch").distinct().join(before, ["quote_id", "stretch"], "left").select(
+        "quote_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     return (
-        probes.unionByName(listed)
-        .withColumn("cheaper", F.sum("n").over(so_far))
+        rows.withColumn("inside", F.sum("n").over(so_far))
         .filter("is_price = 0")
-        .select("quote_id", F.col("value").alias("shop_price"), "cheaper")
+        .join(starts, ["quote_id", "stretch"])
+        .select("quote_id", F.col("value").alias("shop_price"), (F.col("start") + F.col("inside")).alias("cheaper"))
     )
 
 
@@ -168,32 +178,32 @@ def judge(tags: DataFrame, prices: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def _factors() -> Column:
-    def factor(key: str, label: str, value: Column, note: Column, tone: Column) -> Column:
-        return F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), value.alias("value"),
+    def factor(key: str, value: Column, note: Column, tone: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.lit(dims.FACTOR_LABELS[key]).alias("label"), value.alias("value"),
                         note.alias("note"), tone.alias("tone"))
 
     reasons, level = F.col("confidence.reasons"), F.col("confidence.level")
     condition = _of_condition(F.col("condition"), lambda row: F.lit(row[1]))
-    compared = F.when(F.col("tier") == "model", F.lit("品番一致")).when(
-        F.col("tier") == "brand", F.lit("ブランド一致")).otherwise(F.lit("全件"))
+    compared = F.when(F.col("tier") == "model", F.lit(dims.COMPARED_WITH["model"])).when(
+        F.col("tier") == "brand", F.lit(dims.COMPARED_WITH["brand"])).otherwise(F.lit(dims.COMPARED_WITH["all"]))
     others = F.transform(F.slice(reasons, 2, 9), lambda r: r["text"])
     percent = F.coalesce(round_half_up(F.col("raw_ratio") * 100), F.lit(0))
     return F.array(
         factor(
-            "ratio", "相場との差", F.concat(percent.cast("string"), F.lit("%")),
-            F.concat(condition, F.lit("なら "), yen(F.col("target")), F.lit(" あたり。値札は "), yen(F.col("shop_price"))),
+            "ratio", F.concat(percent.cast("string"), F.lit("%")),
+            F.concat(condition, F.lit(dims.RATIO_NOTE[0]), yen(F.col("target")), F.lit(dims.RATIO_NOTE[1]), yen(F.col("shop_price"))),
             F.col("verdict.tone"),
         ),
         factor(
-            "position", "分布の位置",
-            F.concat(F.lit("下から "), F.col("position_pct").cast("string"), F.lit("%")),
-            F.concat(F.lit("集めた "), F.col("count").cast("string"), F.lit(" 件のうち "),
-                     F.col("cheaper").cast("string"), F.lit(" 件がこれより安い")),
+            "position",
+            F.concat(F.lit(dims.POSITION_VALUE), F.col("position_pct").cast("string"), F.lit("%")),
+            F.concat(F.lit(dims.POSITION_NOTE[0]), F.col("count").cast("string"), F.lit(dims.POSITION_NOTE[1]),
+                     F.col("cheaper").cast("string"), F.lit(dims.POSITION_NOTE[2])),
             F.lit("neutral"),
         ),
-        factor("basis", "何と比べたか", compared, F.get(reasons, F.lit(0))["text"], F.get(reasons, F.lit(0))["tone"]),
+        factor("basis", compared, F.get(reasons, F.lit(0))["text"], F.get(reasons, F.lit(0))["tone"]),
         factor(
-            "confidence", "相場の当てになり具合", F.col("confidence.label"), F.array_join(others, " / "),
+            "confidence", F.col("confidence.label"), F.array_join(others, " / "),
             F.when(level == "high", F.lit("good")).when(level == "low", F.lit("warning")).otherwise(F.lit("neutral")),
         ),
     )
