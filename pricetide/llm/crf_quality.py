@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.words import in_small_batches
+
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 200
 STEPS = 250
@@ -191,7 +193,7 @@ def sample(docs: DataFrame, labels: DataFrame, docs_at_most: int = SAMPLE_DOCS)
 
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     # the sample's size is bounded, so it may be sent to all tasks
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(
+    texts = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(
         lines <= SAMPLE_LINES).dropDuplicates(["doc_id"])
     rows = texts.select("doc_id", "quality", packed("text").alias("x")).collect()
     return [(np.frombuffer(r["x"]).reshape(-1, N_FEATURES), r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
@@ -220,7 +222,7 @@ def score_column(text: Column, field: Field) -> Column:
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
     """The input's rows with ``score`` and ``predicted`` (columns of these names are replaced)."""
-    rows = docs.withColumn("score", score_column(docs["text"], field))
+    rows = in_small_batches(docs).withColumn("score", score_column(docs["text"], field))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.array_store import mapped, new_folder, put
+from pricetide.llm.words import in_small_batches
 
 END, START = b"\n", b" "  # blanks are never words
 START_NUMBER = 0xFFFFFFFF
@@ -385,7 +386,7 @@ def trained_on(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Model:
     """Count the model of the texts of ``docs``; its arrays stay in the shared folder."""
     spark = docs.sparkSession
-    texts = docs.select("text")
+    texts = in_small_batches(docs).select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = min(MOST_SHARDS, 1 + size // SHARD_BYTES)
     word_shards = 1 + shards // 4
@@ -425,7 +426,7 @@ def scored(docs: DataFrame, model: Model, into: str = "lm") -> DataFrame:
         return pd.DataFrame(model.score(texts.tolist()), columns=["n_tokens", "n_known", "base_score", "score"]).astype(
             {"n_tokens": "int64", "n_known": "int64", "base_score": "float64", "score": "float64"})
 
-    return docs.withColumn(into, run(docs["text"]))
+    return in_small_batches(docs).withColumn(into, run(docs["text"]))
 
 
 def perplexity(lm: str = "lm") -> Column:

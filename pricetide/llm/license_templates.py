@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.words import in_small_batches
+
 # Fixed phrases and the labels they stand for.
 PHRASES = {
     "gpl": "gnu general public license",
@@ -179,7 +181,7 @@ def license_column(text: Column, templates: dict[str, str] = TEMPLATES) -> Colum
 
 def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, into: str = "license") -> DataFrame:
     """The input's rows with a struct of ``RESULT``."""
-    return docs.withColumn(into, license_column(docs["text"], templates))
+    return in_small_batches(docs).withColumn(into, license_column(docs["text"], templates))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

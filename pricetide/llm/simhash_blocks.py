@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.components import roots
-from pricetide.llm.words import fresh, narrow, stored, text_key
+from pricetide.llm.words import fresh, in_small_batches, narrow, stored, text_key
 
 WIDTH = 3
 SEED = 42
@@ -138,7 +138,7 @@ def labelled(rows: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
 
 def components(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, a row per row of ``docs``."""
-    rows = stored(narrow(docs, "doc_id", "text").select(
+    rows = stored(in_small_batches(narrow(docs, "doc_id", "text")).select(
         F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), width).alias("fp")))
     return rows.join(labelled(rows, bits, blocks), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -149,7 +149,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int
 
     Where several rows claim the place (repeated rows, null ids) one of them stays.
     """
-    rows = stored(narrow(docs, "doc_id", "text").select(
+    rows = stored(in_small_batches(narrow(docs, "doc_id", "text")).select(
         F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), width).alias("fp"),
         text_key(F.col("text")).alias("text_id")))
     claims = rows.join(labelled(rows, bits, blocks), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -46,3 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+BATCH_ROWS = 2000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Python at most ``BATCH_ROWS`` texts at once.
+
+    Spark bounds such batches by rows only, and by default far higher; texts may be very long.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
