@@ -660,6 +660,12 @@ def oracle_sql() -> dict[str, str]:
       CASE count(*) WHEN 1 THEN '送料込み|SOLD' WHEN 2 THEN '送料込み|SOLD|送料込み|SOLD'
         ELSE '送料込み|SOLD|送料込み|SOLD|送料込み' END AS ignored_samples, CAST(NULL AS VARCHAR) AS error
       FROM fx_listings GROUP BY 1, 2, 3"""
+    lone = "count(*) = 1 AND min(price) < 300"
+    sql["parse_report_tsv"] = f"""{PAGED} SELECT quote_id, source, pos // 20 AS page,
+      CASE WHEN count(*) > 1 THEN 'table' ELSE 'flow' END AS mode, CAST(count(*) AS INTEGER) AS lines,
+      CAST(CASE WHEN {lone} THEN 0 ELSE count(*) END AS INTEGER) AS prices_found, 0 AS untitled,
+      '' AS ignored_samples, CASE WHEN {lone} THEN '{dims.UNREADABLE_PASTE}' END AS error
+      FROM fx_listings GROUP BY 1, 2, 3"""
     sql["quotes_from_pastes"] = f"{QUOTED} SELECT quote_id, basis_tier, equal_weight_median, combined_count FROM quotes"
     sql["tag_identify"] = f"""WITH {TAGS} SELECT tag_id, brand, matched, 'JAPAN' AS made_in, model AS model_numbers,
       size AS sizes, material AS materials, array_to_string(keywords[1:6], '|') AS keywords FROM keyworded"""

@@ -178,6 +178,12 @@ def parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.report(parsed).withColumn("ignored_samples", F.array_join("ignored_samples", "|"))
 
 
+def parse_report_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of tab-separated lines: tables, but for a page of one line."""
+    parsed = parse.parse_pastes(derived.pastes(spark, sf_dir, "tsv"))
+    return parse.report(parsed).withColumn("ignored_samples", F.array_join("ignored_samples", "|"))
+
+
 def quotes_from_pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricetide.plans.replay import quotes_from_pastes as plan
 
@@ -347,7 +353,7 @@ _ALL: list[Query] = [
     source_stats, pooled_stats, price_histogram, price_histogram_12, quote_warnings, verdicts, confidence,
     verdict_factors, result_rows, result_rows_top500, result_rows_sorted, source_cards, quotes_mixed_inputs,
     mixed_warnings, mixed_cards, paste_item_ids, photo_texts, search_queries_noted, option_defaults, option_rejects,
-    brand_spellings, parse_report, quotes_from_pastes, tag_identify, tag_identify_hinted, search_queries,
+    brand_spellings, parse_report, parse_report_tsv, quotes_from_pastes, tag_identify, tag_identify_hinted, search_queries,
     search_urls, ocr_clean_docs, ocr_confident_lines, ocr_pass_pick, tag_responses, barcode_check,
     records_latest, records_delete, records_replay, csv_export_lines, title_keys,
 ]

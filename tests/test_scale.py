@@ -140,3 +140,17 @@ def test_rows_shuffle_titles_once(spark, hot):
         plan = QuoteJob(rows, quotes, targets).rows._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.split("\n") if "Join" in line]
     assert sum("quote_id" in line and "source" in line for line in joins) == 0
+
+
+def test_tag_prices_of_one_quote_are_counted_in_stretches(spark):
+    points = spark.range(100000).select(F.lit(1).alias("quote_id"), (F.col("id") * 7).alias("shop_price"), F.lit("new").alias("condition"))
+    prices = spark.range(50000).select(F.lit(1).alias("quote_id"), (F.col("id") * 11 + 5).alias("price"), F.lit(2).cast("bigint").alias("n"))
+    counted = verdict.cheaper_counts(points, prices)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[.*", plan)
+    assert any("stretch" in w and "value" in w for w in windows)
+    assert not any("value" in w and "stretch" not in w for w in windows)
+    for row in counted.where("shop_price % 4999 = 0").collect():
+        cheaper = min(50000, max(0, -(-(row.shop_price - 5) // 11)))
+        assert row.cheaper == 2 * cheaper
+    assert counted.count() == 100000
