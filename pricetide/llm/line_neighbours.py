@@ -162,8 +162,9 @@ def judged(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
     near = stored(near_copies(stored(with_words(texts, chosen, limit)))).withColumn("near", F.lit(True))
     fates = different.join(near, ["h1", "h2"], "left")
     told = table.select("doc_id", "a", "b", "place", "h1", "h2").join(fates, ["h1", "h2"])
-    return told.select("doc_id", "a", "b", "place", (order() != F.col("rank")).alias("copy"),
-                       F.coalesce("near", F.lit(False)).alias("near"))
+    # written, so that the join may split the rows of a line that very many documents share
+    return written(told.select("doc_id", "a", "b", "place", (order() != F.col("rank")).alias("copy"),
+                               F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
 
 
 def summary(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
