@@ -21,7 +21,7 @@ back what they took.
 4. Scoring: tasks map the arrays into memory and look up their texts' different pairs in sorted
    order. No model passes through the driver, and no text is shuffled.
 
-What a task holds is one run of tokens (``RUN``) or one shard, and shards grow in number with the
+What a task holds is one run of tokens (``RUN`` to count, ``LOOKUP`` to look up) or one shard, and shards grow in number with the
 input (``SHARD_BYTES``). Only shard sizes and sums reach the driver.
 
 Defined results: a null or empty text is the end token alone; unseen words share what is left over
@@ -50,6 +50,7 @@ from pricetide.llm.words import in_small_batches
 END, START = b"\n", b" "  # blanks are never words
 START_NUMBER = 0xFFFFFFFF
 RUN = 2_000_000
+LOOKUP = 250_000  # tokens that are looked up together
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 20_000
 FREQUENT = 20  # a context with over 1 / (FREQUENT * shards) of all tokens is dealt over all shards
@@ -211,12 +212,12 @@ def numbered(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndar
 
 
 def in_runs(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Texts in runs of about ``RUN`` tokens."""
+    """Texts in runs of about ``LOOKUP`` tokens, or one text of more."""
     run, size = [], 0
     for text in texts:
         run.append(text)
         size += 2 + len(text or "") // 6
-        if size >= RUN:
+        if size >= LOOKUP:
             yield run
             run, size = [], 0
     if run:
