@@ -268,18 +268,24 @@ def keep_pairs(folder: str, words: Words):
     """
     offsets = words.offsets
 
+    def sums(keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        numbers = keys.astype(np.int64)
+        owner = np.where(numbers == START_NUMBER, -1, np.searchsorted(offsets, numbers, side="right") - 1)
+        return sent(owner, keys.astype(U32), np.stack(columns, axis=1).astype(U32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, pairs, counts in received(batches, U64, U32):
             counts = counts[:, 0]
             put(folder, f"pair-{shard}", pairs)
             put(folder, f"pair-count-{shard}", counts.astype(U32))
-            context, word = (pairs >> U64(32)).astype(np.int64), (pairs & U64(START_NUMBER)).astype(np.int64)
-            zero = np.zeros_like(counts)
-            of_context = np.stack([counts, counts == 1, counts == 2, counts > 2, zero], axis=1)
-            of_word = np.stack([zero, zero, zero, zero, zero + 1], axis=1)
-            keys, values = summed(np.concatenate([context, word]), np.concatenate([of_context, of_word]).astype(np.int64))
-            owner = np.where(keys == START_NUMBER, -1, np.searchsorted(offsets, keys, side="right") - 1)
-            yield sent(owner, keys.astype(U32), values.astype(U32))
+            context = pairs >> U64(32)
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            ones, twos, total = counts == 1, counts == 2, [np.add.reduceat(counts, first)]
+            of_context = total + [np.add.reduceat(x, first, dtype=np.int64) for x in (ones, twos, ~(ones | twos))]
+            yield sums(context[first], *of_context, np.zeros(len(first), dtype=np.int64))
+            word, before = np.unique(pairs & U64(START_NUMBER), return_counts=True)
+            nothing = np.zeros(len(word), dtype=np.int64)
+            yield sums(word, nothing, nothing, nothing, nothing, before)
             yield sent(np.array([-2]), np.array([0], dtype=U32), np.array([[*tallied(counts), 0]], dtype=U32))
 
     return run
@@ -390,7 +396,7 @@ def train(docs: DataFrame) -> Model:
     texts = in_small_batches(docs).select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = min(MOST_SHARDS, 1 + size // SHARD_BYTES)
-    word_shards = 1 + shards // 4
+    word_shards = 1 + shards // 2
     folder = new_folder(spark, "kneser-ney")
 
     rows = dealt(texts.mapInArrow(count_words(word_shards), SENT), word_shards).mapInArrow(
