@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder; a local one only for a local master without any."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         top = tempfile.mkdtemp(prefix="run-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
