@@ -160,9 +160,9 @@ def judged(docs: DataFrame, limit: int = BROADCAST_LINES) -> DataFrame:
     different = written(table.groupBy("h1", "h2").agg(F.min(order()).alias("rank")), "different-lines")
     chosen = stored(different.join(suspects(table), ["h1", "h2"]))
     near = stored(near_copies(stored(with_words(texts, chosen, limit)))).withColumn("near", F.lit(True))
-    fates = different.join(near, ["h1", "h2"], "left")
+    # written, so that the join below may split the rows of a line that very many documents share
+    fates = written(different.join(near, ["h1", "h2"], "left"), "fates")
     told = table.select("doc_id", "a", "b", "place", "h1", "h2").join(fates, ["h1", "h2"])
-    # written, so that the join may split the rows of a line that very many documents share
     return written(told.select("doc_id", "a", "b", "place", (order() != F.col("rank")).alias("copy"),
                                F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
 
