@@ -126,16 +126,21 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int
     return pairs.union(halfway_links(crowded, bits))
 
 
-def labelled(rows: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(fp, root, component_id) for the fingerprints of (doc_id, fp) rows."""
+def component_ids(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for the fp of (doc_id, fp) rows, linked by pairs (a, b) of fp."""
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = roots(links(prints.select("fp"), bits, blocks))
+    linked = roots(pairs)
     rooted = stored(prints.join(linked, prints["fp"] == linked["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
+def labelled(rows: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, root, component_id) for the fingerprints of (doc_id, fp) rows."""
+    return component_ids(rows, links(stored(rows.select("fp").distinct()), bits, blocks))
+
+
 def components(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, a row per row of ``docs``."""
     rows = stored(in_small_batches(narrow(docs, "doc_id", "text")).select(
@@ -152,7 +157,12 @@ def keep_one(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, width: int
     rows = stored(in_small_batches(narrow(docs, "doc_id", "text")).select(
         F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), width).alias("fp"),
         text_key(F.col("text")).alias("text_id")))
-    claims = rows.join(labelled(rows, bits, blocks), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, rows, labelled(rows, bits, blocks))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name a component; ``rows`` has their doc_id, text_id and fp, ``labels`` what fp belongs to."""
+    claims = rows.join(labels, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     tally = claims.groupBy("root", "component_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
     id_, a, b, many = fresh("id", "a", "b", "many")
     keep = stored(tally.groupBy("root").agg(F.min(F.struct("text_id", "component_id", "n")).alias("k")).select(
