@@ -13,6 +13,7 @@ from pricetide.llm import (
     kneser_ney,
     license_templates,
     line_neighbours,
+    period_runs,
     ring_shards,
     rule_ledger,
     secret_owners,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_neighbours": line_neighbours.query,
         "op9_ring_shards": ring_shards.query,
         "op10_kneser_ney": kneser_ney.query,
+        "op13_period_runs": period_runs.query,
     }
 
 
