@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from pricetide.llm import (
     crf_quality,
+    curve_packing,
     entropy_mix,
     kneser_ney,
     license_templates,
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_neighbours": line_neighbours.query,
         "op9_ring_shards": ring_shards.query,
         "op10_kneser_ney": kneser_ney.query,
+        "op12_curve_packing": curve_packing.query,
         "op13_period_runs": period_runs.query,
     }
 
