@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pricetide.llm import (
+    block_whitening,
     crf_quality,
     curve_packing,
     entropy_mix,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_neighbours": line_neighbours.query,
         "op9_ring_shards": ring_shards.query,
         "op10_kneser_ney": kneser_ney.query,
+        "op11_block_whitening": block_whitening.query,
         "op12_curve_packing": curve_packing.query,
         "op13_period_runs": period_runs.query,
     }
