@@ -4,18 +4,13 @@ A greedy choice where each pick depends on all before it. Only line numbers go t
 batches; texts stay in the JVM.
 """
 
-import sys
 from bisect import bisect_right
 from typing import Iterator, Tuple
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def nearest_titles(prices: list[int], titles: list[int]) -> list[int]:
     """Which title each price takes: the nearest free one, the earlier of two equally near.
