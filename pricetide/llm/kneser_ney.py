@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import count, groupby
 
 import numpy as np
@@ -45,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.array_store import mapped, new_folder, put
-from pricetide.llm.words import in_small_batches
+from pricetide.llm.words import Remembered, in_small_batches
 
 END, START = b"\n", b" "  # blanks are never words
 START_NUMBER = 0xFFFFFFFF
@@ -193,7 +192,7 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=100_000)
+@Remembered
 def arrays(folder: str, name: str, dtype: str) -> np.ndarray:
     return mapped(folder, name, np.dtype(dtype))
 

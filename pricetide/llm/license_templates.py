@@ -16,13 +16,12 @@ itself; a column of the result's name is replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.words import in_small_batches
+from pricetide.llm.words import Remembered, in_small_batches
 
 # Fixed phrases and the labels they stand for.
 PHRASES = {
@@ -138,7 +137,7 @@ class Automaton:
         return best
 
 
-@lru_cache(maxsize=8)
+@Remembered
 def compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[tuple[str, Automaton]]]:
     """Automata by the words they can begin with."""
     out: dict[bytes, list[tuple[str, Automaton]]] = {}

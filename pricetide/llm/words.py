@@ -48,6 +48,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Remembered:
+    """A function that keeps its results while a task runs; it travels to executors without them."""
+
+    def __init__(self, function):
+        self.function, self.kept = function, {}
+
+    def __call__(self, *args):
+        if args not in self.kept:
+            self.kept[args] = self.function(*args)
+        return self.kept[args]
+
+    def __reduce__(self):
+        return Remembered, (self.function,)
+
+
 BATCH_ROWS = 2000
 
 
