@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm.array_store import new_folder
@@ -48,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of earlier rounds, to which nothing refers any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Remembered:
     """A function that keeps its results while a task runs; it travels to executors without them."""
 
