@@ -126,7 +126,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int
     return pairs.union(halfway_links(crowded, bits))
 
 
-def component_ids(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def component_ids(rows: DataFrame, pairs: DataFrame, roots=roots) -> DataFrame:
     """(fp, root, component_id) for the fp of (doc_id, fp) rows, linked by pairs (a, b) of fp."""
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = roots(pairs)
