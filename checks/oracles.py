@@ -552,6 +552,8 @@ def oracle_sql() -> dict[str, str]:
     sql["source_stats"] = f"{BASE},{SOURCE_STATS} SELECT * FROM source_stats"
     sql["pooled_stats"] = f"{BASE} SELECT quote_id, {_stats()} FROM final GROUP BY 1"
     sql["price_histogram"] = f"{BASE},{_histogram(SUGGESTED)} SELECT * FROM hist"
+    sql["source_stats_wide"], sql["price_histogram_wide"] = sql["source_stats"], sql["price_histogram"]
+    sql["quotes_wide"] = sql["quotes_incremental"] = sql["quote_headline"]
     sql["price_histogram_12"] = f"""{BASE},{_histogram('12')}
       SELECT quote_id, bin, lo, hi, CAST(coalesce(sum(n) FILTER (source = 'auction'), 0) AS BIGINT) AS n_auction,
         CAST(coalesce(sum(n) FILTER (source = 'market'), 0) AS BIGINT) AS n_market

@@ -14,8 +14,9 @@ from pricetide.functions import text as tx
 from pricetide.operators import barcode, clean, hints, histogram, identify, match, ocr_text, parse, stats, views
 from pricetide.plans.quote import QuoteJob
 from pricetide.plans.replay import replay
-from pricetide.session import tune
+from pricetide.session import tune, work_folder
 from pricetide.sources import csv_export, records
+from pricetide.streaming.running_quotes import RunningQuotes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,11 +26,11 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.withColumn("exclude_words", clean.user_words(F.col("exclude_csv")))
 
 
-def job(spark: SparkSession, sf_dir: str, positions: bool = False, keep_counts: bool = False) -> QuoteJob:
+def job(spark: SparkSession, sf_dir: str, positions: bool = False, keep_counts: bool = False, wide: bool = False) -> QuoteJob:
     listings = derived.listings if positions else derived.unnumbered
     return QuoteJob(
         listings(spark, sf_dir), options(spark, sf_dir), derived.targets(spark, sf_dir),
-        sources=derived.SOURCES, keep_counts=keep_counts,
+        sources=derived.SOURCES, keep_counts=keep_counts, wide=wide,
     )
 
 
@@ -79,6 +80,31 @@ def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job(spark, sf_dir).histogram
 
 
+def source_stats_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job(spark, sf_dir, wide=True).source_stats
+
+
+def price_histogram_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job(spark, sf_dir, wide=True).histogram
+
+
+def quotes_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = job(spark, sf_dir, wide=True).quotes
+    return quotes.withColumn("sources_used", F.array_join("sources_used", ","))
+
+
+def quotes_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings in two batches, the first of which arrives again after the second."""
+    listings = derived.unnumbered(spark, sf_dir)
+    store = RunningQuotes(spark, work_folder(spark, "running-quotes"), options(spark, sf_dir), derived.targets(spark, sf_dir),
+                          sources=derived.SOURCES)
+    early = listings.where(F.col("price") % 2 == 0)
+    store.absorb(early, 0)
+    store.absorb(listings.where(F.col("price") % 2 != 0), 1)
+    store.absorb(early, 0)
+    return store.quotes().withColumn("sources_used", F.array_join("sources_used", ","))
+
+
 def price_histogram_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.wide(histogram.stacked(job(spark, sf_dir).settled, bins=12), derived.SOURCES)
 
@@ -350,7 +376,8 @@ FORMS = ["auction", "market", "inline", "csv", "tsv", "bare"]
 
 _ALL: list[Query] = [
     quote_headline, quote_notes, listing_exclusions, match_tiers, basis_choice, iqr_outliers, iqr_bounds,
-    source_stats, pooled_stats, price_histogram, price_histogram_12, quote_warnings, verdicts, confidence,
+    source_stats, pooled_stats, price_histogram, price_histogram_12, source_stats_wide, price_histogram_wide,
+    quotes_wide, quotes_incremental, quote_warnings, verdicts, confidence,
     verdict_factors, result_rows, result_rows_top500, result_rows_sorted, source_cards, quotes_mixed_inputs,
     mixed_warnings, mixed_cards, paste_item_ids, photo_texts, search_queries_noted, option_defaults, option_rejects,
     brand_spellings, parse_report, parse_report_tsv, quotes_from_pastes, tag_identify, tag_identify_hinted, search_queries,

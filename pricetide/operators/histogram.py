@@ -21,11 +21,23 @@ def bin_count(n: Column, low: Column, high: Column, q1: Column, q3: Column) -> C
     )
 
 
-def stacked(settled: DataFrame, bins: int | None = None) -> DataFrame:
-    """``quote_id, source, bin, lo, hi, n``; empty bins included, for sources with kept prices.
+def ranges(settled: DataFrame) -> DataFrame:
+    """Per quote: extremes and quartiles of the kept prices, as mergeable aggregates."""
+    kept, price = F.col("kept"), F.when(F.col("kept"), F.col("price"))
+    quartile = {f"q{i}": interpolated(F.col("price"), F.col("pool_running"), F.col("pool_total"), q, kept) for i, q in ((1, 0.25), (3, 0.75))}
+    return settled.groupBy("quote_id").agg(
+        F.min(price).alias("low"), F.max(price).alias("high"), *[c.alias(name) for name, c in quartile.items()])
 
-    The range is that of all sources of the quote. ``bins`` overrides the suggested number.
-    """
+
+def ranged_by_join(settled: DataFrame) -> DataFrame:
+    """Kept prices with the range of their quote, for quotes too large for a window: AQE splits a hot one."""
+    prices = settled.filter("kept").select("quote_id", "source", "price", "n", "kept", "pool_total")
+    known = ranges(settled).withColumn("key", F.struct("quote_id")).drop("quote_id")
+    return prices.withColumn("key", F.struct("quote_id")).join(known, "key").drop("key")
+
+
+def ranged_by_window(settled: DataFrame) -> DataFrame:
+    """Kept prices with the range of their quote; shares the partitioning of ``stats.settle``."""
     whole = Window.partitionBy("quote_id").orderBy("price").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
@@ -35,13 +47,22 @@ def stacked(settled: DataFrame, bins: int | None = None) -> DataFrame:
         return interpolated(price, F.col("pool_running"), total, q, kept,
                             over=lambda aggregate: aggregate.over(whole))
 
-    ranged = settled.select(
+    return settled.select(
         "quote_id", "source", "price", "n", "kept", "pool_total",
         F.min(F.when(kept, price)).over(whole).alias("low"),
         F.max(F.when(kept, price)).over(whole).alias("high"),
         quartile(0.25).alias("q1"),
         quartile(0.75).alias("q3"),
     ).filter("kept")
+
+
+def stacked(settled: DataFrame, bins: int | None = None, wide: bool = False) -> DataFrame:
+    """``quote_id, source, bin, lo, hi, n``; empty bins included, for sources with kept prices.
+
+    The range is that of all sources of the quote. ``bins`` overrides the suggested number. ``wide``
+    takes the range from aggregates instead of a window over the quote's prices.
+    """
+    ranged, total = ranged_by_join(settled) if wide else ranged_by_window(settled), F.col("pool_total")
     low, high = F.col("low"), F.col("high")
     wanted = F.lit(bins) if bins else bin_count(total, low, high, F.col("q1"), F.col("q3"))
     flat = low == high

@@ -5,7 +5,8 @@
     price counts                ->  settled counts             (windows within quote_id)
     settled counts              ->  statistics, quotes, histogram, warnings
 
-``QuoteJob`` only names the steps; every attribute is a lazy DataFrame.
+``QuoteJob`` only names the steps; every attribute is a lazy DataFrame, but ``keep_counts`` makes the first one
+that needs the counts run the job that classifies and stores them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pricetide import dims
 from pricetide.functions import text as tx
-from pricetide.operators import clean, histogram, match, stats, verdict, views, warnings
+from pricetide.operators import clean, histogram, match, stats, verdict, views, warnings, wide_stats
 from pricetide.session import cut_lineage
 
 
@@ -114,6 +115,8 @@ class QuoteJob:
     one without listings counts 0 and warns. ``keep_counts`` checkpoints the price counts: worth it
     where several results are taken from one job, since the listings are then classified once.
     ``store_counts`` and ``with_counts`` do the same by a table in a folder of the caller's choice.
+    ``wide`` is for quotes with more prices than a task should sort: ranks are then found in two levels
+    (``operators.wide_stats``), at the price of three joins; results are the same.
 
     The plan relies on the settings of ``pricetide.session``: ``tune(spark)`` sets them on a session
     that was built without them, else a hot quote's join partition stays in one piece.
@@ -126,6 +129,7 @@ class QuoteJob:
     sources: list | None = None
     keep_counts: bool = False
     counts: DataFrame | None = None
+    wide: bool = False
 
     def only(self, quote_ids: list) -> QuoteJob:
         """The same job for some quotes. All inputs are filtered first, so that the filter reaches their scans."""
@@ -187,7 +191,7 @@ class QuoteJob:
 
     @cached_property
     def settled(self) -> DataFrame:
-        return stats.settle(self.counted)
+        return wide_stats.settle(self.counted) if self.wide else stats.settle(self.counted)
 
     @cached_property
     def basis(self) -> DataFrame:
@@ -207,7 +211,7 @@ class QuoteJob:
 
     @cached_property
     def histogram(self) -> DataFrame:
-        return histogram.stacked(self.settled)
+        return histogram.stacked(self.settled, wide=self.wide)
 
     @cached_property
     def warnings(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,16 @@ def build_session(master: str | None = None, app_name: str = "pricetide", **conf
     return builder.getOrCreate()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names; a local one only for a local master without any."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        top = tempfile.mkdtemp(prefix="run-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that lost executors do not replay the whole job.
 

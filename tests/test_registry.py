@@ -40,7 +40,7 @@ def test_every_query_has_sql():
     "tag_identify", "search_urls", "ocr_clean_docs", "ocr_pass_pick", "barcode_check", "tag_responses",
     "paste_roundtrip_market", "paste_roundtrip_csv", "records_replay", "csv_export_lines", "title_keys",
     "result_rows_top500", "result_rows_sorted", "quotes_mixed_inputs", "mixed_warnings", "mixed_cards", "paste_item_ids",
-    "photo_texts", "search_queries_noted",
+    "photo_texts", "search_queries_noted", "source_stats_wide", "price_histogram_wide", "quotes_wide", "quotes_incremental",
 ])
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
