@@ -9,10 +9,12 @@ def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-def slow(text, item, least=9):
-    """Best stretch over all shifts that a mask hits."""
+def slow(text, item):
+    """Best stretch over all shifts that a mask hits; a short item is found whole or not at all."""
     w, v = (text or "").lower().split(), item.lower().split()
-    best = 0
+    if len(v) < 6:
+        return len(v) if any(w[p:p + len(v)] == v for p in range(len(w))) and v else 0
+    best, least = 0, 9 if len(v) > 16 else min(len(v), 8)
     for p in range(len(w)):
         for q in range(len(v)):
             if any(p + m[-1] < len(w) and q + m[-1] < len(v) and all(w[p + k] == v[q + k] for k in m) for m in sd.MASKS):
@@ -31,7 +33,7 @@ def test_sql(same_as_sql):
 def planted():
     rng = random.Random(11)
     words = [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 30)))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 30)))) for i in range(12)] + [(12, "w1"), (13, "w2 w3")]
     docs = []
     for i in range(50):
         body = [rng.choice(words) for _ in range(rng.randint(0, 60))]
@@ -56,7 +58,31 @@ def test_against_brute_force(documents, spark):
             for o in r["overlaps"]:
                 got[r["doc_id"]][o["item_id"]] = max(o["overlap"], got[r["doc_id"]].get(o["item_id"], 0))
         assert got == want
-    assert 10 < sum(bool(v) for v in want.values()) < 50
+    assert sum(any(i > 11 for i in v) for v in want.values()) > 10 and sum(any(i < 12 for i in v) for v in want.values()) > 10
+
+
+def test_every_length_is_found_and_one_word_less_is_not(documents, spark):
+    items = [(n, " ".join(f"v{n}x{k}" for k in range(n))) for n in range(1, 25)]
+    whole = [(n, f"before {text} after") for n, text in items]
+    cut = [(100 + n, "before " + " ".join(text.split()[1:]) + " after") for n, text in items]
+    out = {r["doc_id"]: [o["item_id"] for o in r["overlaps"]] for r in sd.overlaps(documents(whole + cut), bench(spark, items)).collect()}
+    assert all(out[n] == [n] for n in range(1, 25))
+    assert {n for n in range(1, 25) if out[100 + n]} == set(range(9, 17)) | set(range(17, 25)) and not out[108]
+
+
+def test_four_replaced_words_of_sixteen(documents, spark):
+    item = [f"v{k}" for k in range(16)]
+    text = " ".join("changed" if k in (3, 7, 10, 13) else w for k, w in enumerate(item))
+    assert [o["overlap"] for o in sd.overlaps(documents([(1, text)]), bench(spark, [(5, " ".join(item))])).first()["overlaps"]] == [8]
+
+
+def test_seeds_of_a_long_item_hold_keys_only(documents, spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(sd, "checked", lambda table, rows, limit: sent.append((table.columns, rows)) or table)
+    item = " ".join(f"v{k}" for k in range(10_000))
+    assert sd.overlaps(documents([(1, "x " + item)]), bench(spark, [(1, item)])).first()["overlaps"][0]["overlap"] == 10_000
+    for columns, rows in sent:
+        assert "hashes" not in columns and rows < 40_001 or columns == ["item_id", "hashes", "ia", "ib"]
 
 
 def test_replaced_words(documents, spark):
@@ -82,7 +108,7 @@ def test_odd_rows(documents, spark):
     df = documents(rows).withColumn("overlaps", F.lit("clash")).withColumn("item_id", F.lit(1)).withColumn("a", F.lit(2))
     items = bench(spark, [(None, item), (2, None), (3, ""), (4, "a b"), (None, item)])
     out = sd.overlaps(df, items)
-    assert sorted((r["doc_id"] or 0, len(r["overlaps"])) for r in out.collect()) == [(0, 1), (1, 0), (2, 0), (4, 1), (4, 1)]
+    assert sorted((r["doc_id"] or 0, len(r["overlaps"])) for r in out.collect()) == [(0, 2), (1, 0), (2, 0), (4, 2), (4, 2)]
     assert sd.clean(df, items).columns == df.columns and sd.clean(df, items).count() == 2
     assert sd.clean(df, items.where("false")).count() == 5
     assert sd.overlaps(documents([]), items).count() == 0
