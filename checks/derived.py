@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.operators.positions import number_rows
+from pricetide.sources import dictionary
 
 SOURCES = [("auction", "オークション", ""), ("market", "フリマ", "")]
 
@@ -129,6 +130,45 @@ def garment_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SELECTED = [1, 4, 1_000_000_000]
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``canonical, alias, folded, alias_ord``: the fixed dictionary and the number of every seventh part as its maker's."""
+    fixed = dictionary.brand_aliases(spark)
+    number = F.concat(F.lit("nd"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
+    grown = table(spark, sf_dir, "part").where(F.col("p_partkey") % 7 == 3).select(
+        F.col("p_brand").alias("canonical"), number.alias("alias"), F.upper(number).alias("folded"),
+        (F.col("p_partkey") + 1000).cast("int").alias("alias_ord"))
+    return fixed.unionByName(grown)
+
+
+ORIGINS = ["日本製", "中国製", "ベトナム製", "イタリア製", "アメリカ製", "米国製"]
+
+
+def plain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tag_id, text``: a line of digits, a size or not, an origin in Japanese on all but every seventh tag."""
+    key = F.col("p_partkey")
+    origin = F.get(F.array(*[F.lit(o) for o in ORIGINS]), (key % 6).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("tag_id"),
+        F.concat_ws(
+            "\n", F.lit("コート"), (F.lit(10000) + key).cast("string"),
+            F.when(key % 2 == 0, F.lit("160")), F.when(key % 7 != 0, origin),
+        ).alias("text"),
+    )
+
+
+def bare_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tag_id, payload``: without candidates, with blank text, or with the part's name."""
+    key = F.col("p_partkey")
+    text = F.when(key % 3 == 0, F.lit("  ")).otherwise(F.col("p_name"))
+    answer = F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")).alias("content"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("tag_id"),
+        F.when(key % 3 == 1, F.lit("{}")).otherwise(F.to_json(F.struct(F.array(answer).alias("candidates")))).alias("payload"))
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scan_id, code``."""
     order = F.col("o_orderkey")

@@ -544,6 +544,11 @@ def oracle_sql() -> dict[str, str]:
       SELECT quote_id, source, pos, price, exclude_reason IS NOT NULL AS excluded, exclude_reason FROM classified"""
     sql["match_tiers"] = f"""WITH {LISTINGS},{OPTIONS},{TARGETS},{CLASSIFIED}
       SELECT quote_id, source, pos, title, tier FROM classified"""
+    sql["match_tiers_indexed"] = sql["match_tiers"]
+    sql["quotes_selected"] = f"{QUOTED} SELECT * FROM quotes WHERE quote_id IN (1, 4, 1000000000)"
+    least = BASE.replace(">= 3 THEN", ">= (quote_id % 4) * 10 THEN")
+    sql["basis_choice_least"] = f"""{least} SELECT quote_id, basis_tier, n_model, n_brand, n_loose, n_basis, has_target,
+      {TIER_LABEL.format('basis_tier')} AS label FROM basis"""
     sql["basis_choice"] = f"""{BASE} SELECT quote_id, basis_tier, n_model, n_brand, n_loose, n_basis, has_target,
       {TIER_LABEL.format('basis_tier')} AS label FROM basis"""
     sql["iqr_outliers"] = f"{BASE} SELECT quote_id, source, {ITEM_ID} AS item_id, price FROM final WHERE outlier"
@@ -671,6 +676,20 @@ def oracle_sql() -> dict[str, str]:
     sql["quotes_from_pastes"] = f"{QUOTED} SELECT quote_id, basis_tier, equal_weight_median, combined_count FROM quotes"
     sql["tag_identify"] = f"""WITH {TAGS} SELECT tag_id, brand, matched, 'JAPAN' AS made_in, model AS model_numbers,
       size AS sizes, material AS materials, array_to_string(keywords[1:6], '|') AS keywords FROM keyworded"""
+    sql["tag_brands_indexed"] = f"""WITH {TAGS},
+      spelled AS (SELECT canonical, alias, folded, ord FROM aliases UNION ALL
+        SELECT p_brand, 'nd' || lpad(CAST(p_partkey AS STRING), 5, '0'), 'ND' || lpad(CAST(p_partkey AS STRING), 5, '0'),
+          p_partkey + 1000 FROM part WHERE p_partkey % 7 = 3),
+      best AS (SELECT x.tag_id, min((-length(y.folded), y.ord, y.canonical, y.alias)) AS b
+               FROM folded x JOIN spelled y ON contains(x.folded, y.folded) GROUP BY 1)
+      SELECT tag_id, b[3] AS brand, b[4] AS matched FROM folded LEFT JOIN best USING (tag_id)"""
+    sql["tag_models_bare"] = """SELECT p_partkey AS tag_id, CAST(10000 + p_partkey AS STRING) AS model_numbers,
+      CASE WHEN p_partkey % 2 = 0 THEN '160' ELSE '' END AS sizes,
+      CASE WHEN p_partkey % 7 <> 0 THEN ['日本製', '中国製', 'ベトナム製', 'イタリア製', 'アメリカ製', '米国製'][p_partkey % 6 + 1] END AS made_in
+      FROM part"""
+    sql["tag_responses_empty"] = f"""SELECT p_partkey AS tag_id, CASE WHEN p_partkey % 3 = 2 THEN 'text_only' ELSE 'empty' END AS status,
+      CASE WHEN p_partkey % 3 <> 2 THEN '{dims.EMPTY_RESPONSE}' END AS error,
+      CASE WHEN p_partkey % 3 = 2 THEN p_name END AS text FROM part"""
     sql["tag_identify_hinted"] = f"""WITH {TAGS},{RESPONSES} SELECT r.tag_id, coalesce(h.brand, r.brand) AS brand,
       coalesce(h.made_in, 'JAPAN') AS made_in, coalesce(nullif(h.model_numbers, ''), r.model) AS model_numbers,
       coalesce(nullif(h.sizes, ''), r.size) AS sizes, coalesce(nullif(h.materials, ''), r.material) AS materials

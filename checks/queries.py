@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,24 @@ def match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job(spark, sf_dir, positions=True).classified.select("quote_id", "source", "pos", "title", "tier")
 
 
+def match_tiers_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers again, with models looked up by equal pieces of the titles."""
+    found = replace(job(spark, sf_dir, positions=True), many_models=True).classified
+    return found.select("quote_id", "source", "pos", "title", "tier")
+
+
+def quotes_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quotes out of all, one of which does not exist."""
+    quotes = job(spark, sf_dir).only(derived.SELECTED).quotes
+    return quotes.withColumn("sources_used", F.array_join("sources_used", ","))
+
+
+def basis_choice_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basis where every quote states how many matches it asks for."""
+    given = options(spark, sf_dir).withColumn("min_basis_count", (F.col("quote_id") % 4) * 10)
+    return replace(job(spark, sf_dir), options=given).basis
+
+
 def basis_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job(spark, sf_dir).basis
 
@@ -276,6 +295,26 @@ def tag_identify_hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
                          *[F.array_join(c, "|").alias(c) for c in lists])
 
 
+def tag_brands_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags against a dictionary that grows with the parts: the fixed spellings and one for every seventh part number."""
+    tags = derived.garment_tags(spark, sf_dir)
+    found = identify.identify(tags, spellings=derived.spellings(spark, sf_dir))
+    return found.select("tag_id", F.col("brand.canonical").alias("brand"), F.col("brand.matched").alias("matched"))
+
+
+def tag_models_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with a line of digits, an origin in Japanese, and only some with a size."""
+    found = identify.identify(derived.plain_tags(spark, sf_dir))
+    return found.select("tag_id", F.array_join("model_numbers", "|").alias("model_numbers"),
+                        F.array_join("sizes", "|").alias("sizes"), "made_in")
+
+
+def tag_responses_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of which every third has no text in it."""
+    read = hints.read_responses(derived.bare_responses(spark, sf_dir))
+    return read.select("tag_id", "status", "error", "text")
+
+
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify.search_queries(_identified(spark, sf_dir))
 
@@ -376,6 +415,7 @@ FORMS = ["auction", "market", "inline", "csv", "tsv", "bare"]
 
 _ALL: list[Query] = [
     quote_headline, quote_notes, listing_exclusions, match_tiers, basis_choice, iqr_outliers, iqr_bounds,
+    match_tiers_indexed, quotes_selected, basis_choice_least, tag_brands_indexed, tag_models_bare, tag_responses_empty,
     source_stats, pooled_stats, price_histogram, price_histogram_12, source_stats_wide, price_histogram_wide,
     quotes_wide, quotes_incremental, quote_warnings, verdicts, confidence,
     verdict_factors, result_rows, result_rows_top500, result_rows_sorted, source_cards, quotes_mixed_inputs,

@@ -40,6 +40,7 @@ def default_terms() -> dict[str, Column]:
         "exclude_words": F.array().cast("array<string>"),
         "remove_outliers": F.lit(True),
         "iqr_k": F.lit(dims.IQR_K),
+        "min_basis_count": F.lit(dims.MIN_BASIS_COUNT).cast("bigint"),
     }
 
 
@@ -47,8 +48,8 @@ def complete_options(options: DataFrame) -> DataFrame:
     """Defaults and normal forms, one row per quote.
 
     Input columns, all optional but ``quote_id``: ``query, price_min, price_max,
-    exclude_words ARRAY<STRING>, use_default_excludes, remove_outliers, iqr_k``. A bound of 0 or
-    null means the default guard.
+    exclude_words ARRAY<STRING>, use_default_excludes, remove_outliers, iqr_k, min_basis_count``. A bound
+    of 0 or null means the default guard.
     """
     present = set(options.columns)
 
@@ -67,12 +68,13 @@ def complete_options(options: DataFrame) -> DataFrame:
         F.coalesce(given("use_default_excludes", "boolean"), F.lit(True)).alias("use_defaults"),
         F.coalesce(given("remove_outliers", "boolean"), F.lit(True)).alias("remove_outliers"),
         F.coalesce(given("iqr_k", "double"), F.lit(dims.IQR_K)).alias("iqr_k"),
+        F.coalesce(given("min_basis_count", "bigint"), F.lit(dims.MIN_BASIS_COUNT)).alias("min_basis_count"),
     ).withColumn("query", tx.squeeze(F.col("query")))
     return normal.select(
         "quote_id", "query", "price_min", "price_max",
         enabled_rules(F.col("query"), F.col("use_defaults")).alias("rules_on"),
         tx.non_empty(F.transform("exclude_words", tx.squeeze)).alias("exclude_words"),
-        "remove_outliers", "iqr_k",
+        "remove_outliers", "iqr_k", "min_basis_count",
     )
 
 

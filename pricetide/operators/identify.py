@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide import dims
 from pricetide.functions import text as tx
+from pricetide.operators.substrings import containing
 from pricetide.sources import dictionary
 
 STRINGS = "array<string>"
@@ -38,11 +39,35 @@ def brand_in(folded: Column) -> Column:
         F.filter(_alias_literal(), lambda a: F.contains(f, a["folded"])), F.lit(0)))
 
 
+def spellings_in(texts: DataFrame, spellings: DataFrame, folded: str = "folded") -> DataFrame:
+    """``folded, hit``: for each different folded text that holds a spelling, the longest one, as ``brand_in`` gives it.
+
+    ``spellings(canonical, alias)`` is a dictionary of any size; ``folded`` and ``alias_ord`` are taken
+    from it where present. Of equally long spellings the first counts, by ``alias_ord`` or else by
+    canonical name and alias. A spelling that folds to nothing is passed over.
+    """
+    keyed = spellings if "folded" in spellings.columns else spellings.withColumn("folded", tx.nfkc(F.col("alias"))).withColumn(
+        "folded", tx.fold_normal(F.col("folded")))
+    first = F.col("alias_ord") if "alias_ord" in keyed.columns else F.lit(0)
+    filed = keyed.select(
+        F.col("folded").alias("spelling"),
+        F.struct((-F.length("folded")).alias("size"), first.alias("ord"), "canonical", F.col("alias").alias("matched")).alias("rank"),
+    )
+    found = containing(texts.select(F.col(folded).alias("folded")), filed, "folded", "spelling")
+    best = found.groupBy("folded").agg(F.min(F.struct("rank", "spelling")).alias("b"))
+    return best.select("folded", F.struct(
+        "b.rank.canonical", "b.rank.matched", F.col("b.spelling").alias("folded")).alias("hit"))
+
+
+def usual_name(name: Column, folded: Column, known: Column) -> Column:
+    return F.when(folded != "", F.coalesce(known, F.nullif(tx.strip_raw(name), F.lit(""))))
+
+
 def canonical_brand(name: Column) -> Column:
     """Usual name of a brand; an unknown one stays as it is; null where there is none."""
     folded = tx.fold(name)
     known = brand_in(folded)["canonical"]
-    return F.when(folded != "", F.coalesce(known, F.nullif(tx.strip_raw(name), F.lit(""))))
+    return usual_name(name, folded, known)
 
 
 def as_size(token: Column) -> Column:
@@ -74,11 +99,13 @@ def _words(text: Column) -> Column:
     return tx.non_empty(F.split(text, " "))
 
 
-def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text") -> DataFrame:
+def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text",
+             spellings: DataFrame | None = None) -> DataFrame:
     """Adds ``brand STRUCT<canonical, matched>, model_numbers, sizes, made_in, materials, keywords, raw``.
 
     ``hints(tag_id, brand, model_numbers, sizes, materials, made_in)``: where a field of the hint is
-    not empty it replaces what the text says.
+    not empty it replaces what the text says. ``spellings`` is a dictionary as ``spellings_in`` takes it, in
+    place of the fixed one, for very many brands.
     """
     keys = [c for c in tags.columns if c != text]
     read = tags.select(*keys, tx.strip_raw(F.coalesce(text, F.lit(""))).alias("raw")).select(
@@ -91,9 +118,12 @@ def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text"
     labelled = F.transform(
         F.regexp_extract_all("normal", F.lit(dims.SIZE_LABEL), F.lit(1)), lambda s: as_size(tx.fold(s))
     )
+    if spellings is None:
+        read = read.withColumn("hit", brand_in(F.col("folded")))
+    else:
+        read = read.join(spellings_in(read, spellings), "folded", "left")
     sized = read.select(
         "*",
-        brand_in(F.col("folded")).alias("hit"),
         F.array_distinct(F.array_compact(F.concat(labelled, F.transform("tag_lines", as_size)))).alias("t_sizes"),
         F.coalesce(
             F.nullif(F.regexp_extract("normal", dims.MADE_IN, 1), F.lit("")),
@@ -127,6 +157,14 @@ def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text"
         )
     else:
         given = hints.select("tag_id", *[F.col(c).alias(f"h_{c}") for c in HINT_COLUMNS])
+        if spellings is None:
+            given = given.withColumn("h_canonical", canonical_brand(F.col("h_brand")))
+        else:
+            given = given.withColumn("h_folded", tx.nfkc(F.col("h_brand"))).withColumn("h_folded", tx.fold_normal(F.col("h_folded")))
+            known = spellings_in(given, spellings, "h_folded").select(
+                F.col("folded").alias("h_folded"), F.col("hit.canonical").alias("h_known"))
+            given = given.join(known, "h_folded", "left").withColumn(
+                "h_canonical", usual_name(F.col("h_brand"), F.col("h_folded"), F.col("h_known")))
 
         def listed(hint: str, own: str) -> Column:
             return F.when(F.size(hint) > 0, F.array_distinct(hint)).otherwise(F.col(own))
@@ -135,7 +173,7 @@ def identify(tags: DataFrame, hints: DataFrame | None = None, text: str = "text"
             *keys, "raw",
             F.when(
                 F.nullif("h_brand", F.lit("")).isNotNull(),
-                F.struct(canonical_brand(F.col("h_brand")).alias("canonical"), F.col("h_brand").alias("matched")),
+                F.struct(F.col("h_canonical").alias("canonical"), F.col("h_brand").alias("matched")),
             ).when(F.col("hit").isNotNull(), F.struct("hit.canonical", "hit.matched")).alias("brand"),
             listed("h_model_numbers", "t_models").alias("model_numbers"),
             listed("h_sizes", "t_sizes").alias("sizes"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide import dims
 from pricetide.functions import text as tx
+from pricetide.operators.substrings import containing
 from pricetide.sources import dictionary
 
 
@@ -79,22 +80,44 @@ def _holds_model(compacted: Column, models: Column, lengths: Column, starts: Col
     ).otherwise(F.exists(models, lambda m: F.contains(compacted, m)))
 
 
-def match_tier(folded: Column, models: Column, lengths: Column, starts: Column, aliases: Column) -> Column:
-    """``model``, ``brand`` or ``loose`` for a folded title."""
+def titles_with_models(listings: DataFrame, targets: DataFrame) -> DataFrame:
+    """``quote_id, title_folded, holds_model``: the different folded titles that hold a model of their quote's target.
+
+    For quotes of very many models: models stay rows, none travels with a listing, and titles meet them by equal pieces.
+    """
+    models = complete_targets(targets).select("quote_id", F.explode("models").alias("model"))
+    titles = listings.select("quote_id", "title_folded").distinct().withColumn("compacted", tx.compact(F.col("title_folded")))
+    hits = containing(titles, models, "compacted", "model", ["quote_id"]).select("quote_id", "compacted").distinct()
+    return titles.join(hits, ["quote_id", "compacted"]).select("quote_id", "title_folded", F.lit(True).alias("holds_model"))
+
+
+def without_models(ready: DataFrame) -> DataFrame:
+    """Completed targets whose models are looked up by ``titles_with_models`` instead."""
+    none = F.array().cast("array<int>")
+    return ready.withColumns({"models": empty_words(), "model_lengths": none, "model_starts": empty_words()})
+
+
+def match_tier(folded: Column, models: Column, lengths: Column, starts: Column, aliases: Column,
+               holds_model: Column | None = None) -> Column:
+    """``model``, ``brand`` or ``loose`` for a folded title. ``holds_model`` says what a lookup has already found."""
+    def found(f: Column) -> Column:
+        return tx.bound(tx.compact(f), lambda c: _holds_model(c, models, lengths, starts))
+
     return tx.bound(folded, lambda f: (
         F.when(f == "", F.lit("loose"))
-        .when(tx.bound(tx.compact(f), lambda c: _holds_model(c, models, lengths, starts)), F.lit("model"))
+        .when(found(f) if holds_model is None else holds_model, F.lit("model"))
         .when(F.exists(aliases, lambda a: F.contains(f, a)), F.lit("brand"))
         .otherwise(F.lit("loose"))
     ))
 
 
-def choose_basis(has_target: Column, n_model: Column, n_brand: Column) -> Column:
-    """The tier a quote is computed from; a tier with too few listings widens to the next."""
+def choose_basis(has_target: Column, n_model: Column, n_brand: Column, least: Column | None = None) -> Column:
+    """The tier a quote is computed from; a tier with fewer than ``least`` listings widens to the next."""
+    least = F.lit(dims.MIN_BASIS_COUNT) if least is None else least
     return (
         F.when(~has_target, F.lit("all"))
-        .when(n_model >= dims.MIN_BASIS_COUNT, F.lit("model"))
-        .when(n_model + n_brand >= dims.MIN_BASIS_COUNT, F.lit("brand"))
+        .when(n_model >= least, F.lit("model"))
+        .when(n_model + n_brand >= least, F.lit("brand"))
         .otherwise(F.lit("all"))
     )
 

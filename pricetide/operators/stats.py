@@ -39,9 +39,15 @@ def price_counts(classified: DataFrame) -> DataFrame:
         F.first("has_target").alias("has_target"),
         F.first("remove_outliers").alias("remove_outliers"),
         F.first("iqr_k").alias("iqr_k"),
+        F.first("min_basis_count").alias("min_basis_count"),
     )
 
 
+def least_of_basis(counts: DataFrame) -> Column:
+    """The quote's own minimum; counts stored without one have the default."""
+    return F.col("min_basis_count") if "min_basis_count" in counts.columns else F.lit(dims.MIN_BASIS_COUNT)
+
+
 def settle(counts: DataFrame) -> DataFrame:
     """Choose the basis of every quote, mark outliers per source, and rank what is kept.
 
@@ -62,7 +68,7 @@ def settle(counts: DataFrame) -> DataFrame:
 
     tiered = counts.select(
         "*", *[count_of(tier).alias(f"n_{tier}") for tier in ("model", "brand", "loose")]
-    ).withColumn("basis", match.choose_basis(F.col("has_target"), F.col("n_model"), F.col("n_brand")))
+    ).withColumn("basis", match.choose_basis(F.col("has_target"), F.col("n_model"), F.col("n_brand"), least_of_basis(counts)))
     in_basis = counted & match.within_basis(F.col("basis"), F.col("tier"))
     ranked = tiered.withColumn("in_basis", in_basis).withColumn(
         "m", F.when(F.col("in_basis"), n).otherwise(F.lit(0))

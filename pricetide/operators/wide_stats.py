@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from pricetide import dims
 from pricetide.functions.order_stats import interpolated
 from pricetide.operators import match
+from pricetide.operators.stats import least_of_basis
 
 STRETCH = 4096
 KEYS = ["quote_id", "source_key", "stretch"]
@@ -45,11 +46,11 @@ def offsets(rows: DataFrame) -> DataFrame:
     """Per stretch: the quote's basis, its own count within it, and the source's count before it and in all."""
     sums = rows.groupBy(*KEYS).agg(
         *[F.sum(F.when(F.col("counted") & (F.col("tier") == t), F.col("n")).otherwise(0)).alias(f"t_{t}") for t in TIERS],
-        *[F.max(c).alias(c) for c in ("has_target", "remove_outliers", "iqr_k")])
+        *[F.max(c).alias(c) for c in ("has_target", "remove_outliers", "iqr_k")], F.max(least_of_basis(rows)).alias("least"))
     quote = Window.partitionBy("quote_id")
     source = Window.partitionBy("quote_id", "source_key")
     placed = sums.select("*", *[F.sum(f"t_{t}").over(quote).alias(f"n_{t}") for t in TIERS]).withColumn(
-        "basis", match.choose_basis(F.col("has_target"), F.col("n_model"), F.col("n_brand"))).withColumn("in_stretch", of_basis())
+        "basis", match.choose_basis(F.col("has_target"), F.col("n_model"), F.col("n_brand"), F.col("least"))).withColumn("in_stretch", of_basis())
     return placed.select(
         *KEYS, "has_target", "remove_outliers", "iqr_k", "basis", *[f"n_{t}" for t in TIERS], "in_stretch",
         (F.sum("in_stretch").over(source.orderBy("stretch")) - F.col("in_stretch")).alias("before"),

@@ -23,7 +23,7 @@ from pricetide.operators import clean, histogram, match, stats, verdict, views,
 from pricetide.session import cut_lineage
 
 
-def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
+def terms(options: DataFrame, targets: DataFrame | None, keep_models: bool = True) -> DataFrame:
     """One row per quote that has options or a target: completed options, target keys, ``rejected``.
 
     Every option is optional, and so is the row that holds them: what is missing has its default.
@@ -37,7 +37,8 @@ def terms(options: DataFrame, targets: DataFrame | None) -> DataFrame:
         return completed.select("*", *[value.alias(name) for name, value in no_target().items()])
     # Joined on a wrapped key, so that the result is not yet partitioned by quote_id: AQE splits a
     # skewed partition of the listings join only where both of its sides come from a shuffle.
-    ready = match.complete_targets(targets).withColumn("key", F.struct("quote_id")).drop("quote_id")
+    ready = match.complete_targets(targets)
+    ready = (ready if keep_models else match.without_models(ready)).withColumn("key", F.struct("quote_id")).drop("quote_id")
     joined = completed.withColumn("key", F.struct("quote_id")).drop("quote_id").join(ready, "key", "full")
     return joined.select(
         F.col("key.quote_id").alias("quote_id"),
@@ -71,17 +72,23 @@ def title_keys(listings: DataFrame) -> DataFrame:
     return squeezed.withColumn("title_folded", tx.fold_normal(F.col("title_normal")))
 
 
-def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
+def keyed_listings(listings: DataFrame) -> DataFrame:
+    """Listings with title keys, stored or made here."""
+    return listings if {"title_normal", "title_folded"} <= set(listings.columns) else title_keys(listings)
+
+
+def classify(listings: DataFrame, per_quote: DataFrame, model_titles: DataFrame | None = None) -> DataFrame:
     """Adds ``excluded, exclude_reason, tier`` and the quote's settings to every listing.
 
     The join is an ordinary one on ``quote_id``: Spark broadcasts ``per_quote`` when it measures it
     as small, and otherwise AQE splits the partition of a quote that holds very many listings. A
     listing of a quote without terms has the defaults; one of a rejected quote, or without any
-    quote, is left out. Columns of ``per_quote`` beyond the terms pass through.
+    quote, is left out. Columns of ``per_quote`` beyond the terms pass through. ``model_titles`` (of
+    ``match.titles_with_models``) stands in for the models among the terms.
     """
     defaults = all_defaults()
     further = [c for c in per_quote.columns if c not in defaults and c != "quote_id"]
-    keyed = listings if {"title_normal", "title_folded"} <= set(listings.columns) else title_keys(listings)
+    keyed = keyed_listings(listings)
     joined = keyed.where("quote_id is not null").join(per_quote, "quote_id", "left").where(
         ~F.coalesce("rejected", F.lit(False))).withColumns(
         {name: F.coalesce(name, value) for name, value in defaults.items()})
@@ -89,8 +96,12 @@ def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
         F.col("title_normal"), F.col("price"), F.col("price_min"), F.col("price_max"),
         F.col("rules_on"), F.col("exclude_words"),
     )
+    holds_model = None
+    if model_titles is not None:
+        joined = joined.join(model_titles, ["quote_id", "title_folded"], "left")
+        holds_model = F.coalesce("holds_model", F.lit(False))
     tier = match.match_tier(
-        F.col("title_folded"), F.col("models"), F.col("model_lengths"), F.col("model_starts"), F.col("aliases"))
+        F.col("title_folded"), F.col("models"), F.col("model_lengths"), F.col("model_starts"), F.col("aliases"), holds_model)
     keep = [c for c in ("pos", "title") if c in listings.columns]
     is_listing = F.col("is_listing") if "is_listing" in listings.columns else F.lit(True)
     return (
@@ -101,7 +112,7 @@ def classify(listings: DataFrame, per_quote: DataFrame) -> DataFrame:
             "exclude_reason",
             F.when(F.col("has_target"), tier).otherwise(F.lit("loose")).alias("tier"),
             is_listing.alias("is_listing"),
-            "has_target", "remove_outliers", "iqr_k", *further,
+            "has_target", "remove_outliers", "iqr_k", "min_basis_count", *further,
         )
     )
 
@@ -116,7 +127,8 @@ class QuoteJob:
     where several results are taken from one job, since the listings are then classified once.
     ``store_counts`` and ``with_counts`` do the same by a table in a folder of the caller's choice.
     ``wide`` is for quotes with more prices than a task should sort: ranks are then found in two levels
-    (``operators.wide_stats``), at the price of three joins; results are the same.
+    (``operators.wide_stats``), at the price of three joins; results are the same. ``many_models`` is for quotes
+    whose target has more models than should travel with its listings: titles then meet models in a join.
 
     The plan relies on the settings of ``pricetide.session``: ``tune(spark)`` sets them on a session
     that was built without them, else a hot quote's join partition stays in one piece.
@@ -130,6 +142,7 @@ class QuoteJob:
     keep_counts: bool = False
     counts: DataFrame | None = None
     wide: bool = False
+    many_models: bool = False
 
     def only(self, quote_ids: list) -> QuoteJob:
         """The same job for some quotes. All inputs are filtered first, so that the filter reaches their scans."""
@@ -162,7 +175,13 @@ class QuoteJob:
 
     @cached_property
     def per_quote(self) -> DataFrame:
-        return terms(self.options, self.targets)
+        return terms(self.options, self.targets, keep_models=not self.many_models)
+
+    @cached_property
+    def model_titles(self) -> DataFrame | None:
+        if self.targets is None or not self.many_models:
+            return None
+        return match.titles_with_models(keyed_listings(self.listings), self.targets)
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -170,7 +189,7 @@ class QuoteJob:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return classify(self.listings, self.per_quote)
+        return classify(self.listings, self.per_quote, self.model_titles)
 
     @cached_property
     def counted(self) -> DataFrame:
@@ -186,7 +205,7 @@ class QuoteJob:
         keys = [c for c in ("title_normal", "title_folded") if c in self.listings.columns]
         rows = self.listings.select("quote_id", "source", "title", "price", F.lit(True).alias("is_listing"), *keys)
         counts = stats.price_counts(classify(
-            rows.unionByName(blank.select("*", *[F.lit("").alias(k) for k in keys])), self.per_quote))
+            rows.unionByName(blank.select("*", *[F.lit("").alias(k) for k in keys])), self.per_quote, self.model_titles))
         return cut_lineage(counts) if self.keep_counts else counts
 
     @cached_property
@@ -223,7 +242,7 @@ class QuoteJob:
         bounds = stats.fences_by_quote(self.settled).withColumn("key", F.struct("quote_id")).drop("quote_id")
         fenced = self.per_quote.withColumn("key", F.struct("quote_id")).drop("quote_id").join(bounds, "key", "full").select(
             F.col("key.quote_id").alias("quote_id"), *[c for c in self.per_quote.columns if c != "quote_id"], "fences")
-        return views.listing_rows(classify(self.listings, fenced), self.source_list)
+        return views.listing_rows(classify(self.listings, fenced, self.model_titles), self.source_list)
 
     @cached_property
     def cards(self) -> DataFrame:

@@ -20,7 +20,7 @@ from pricetide.plans.quote import QuoteJob
 
 LISTINGS = "quote_id {key}, source string, title string, price bigint"
 KEYS = ["quote_id", "source", "excluded", "tier", "price"]
-SETTINGS = ["has_target", "remove_outliers", "iqr_k"]
+SETTINGS = ["has_target", "remove_outliers", "iqr_k", "min_basis_count"]
 
 
 class RunningQuotes:

@@ -41,6 +41,7 @@ def test_every_query_has_sql():
     "paste_roundtrip_market", "paste_roundtrip_csv", "records_replay", "csv_export_lines", "title_keys",
     "result_rows_top500", "result_rows_sorted", "quotes_mixed_inputs", "mixed_warnings", "mixed_cards", "paste_item_ids",
     "photo_texts", "search_queries_noted", "source_stats_wide", "price_histogram_wide", "quotes_wide", "quotes_incremental",
+    "match_tiers_indexed", "quotes_selected", "basis_choice_least", "tag_brands_indexed", "tag_models_bare", "tag_responses_empty",
 ])
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
