@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 REACH = 16
 
 
-def pieces(text: Column, sizes: Column) -> Column:
-    """The different pieces of a text that is not empty, of all given lengths."""
-    places = F.sequence(F.lit(1), F.length(text))
-    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.transform(
-        sizes, lambda size: F.substr(text, at, size)))))
+def starts(text: Column, reach: int) -> Column:
+    """From each place of a text that is not empty, the letters a key may have."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda at: F.substr(text, at, F.lit(reach)))
 
 
 def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, keys: list[str] | None = None,
@@ -40,5 +38,9 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, key
         sized = searched.join(sizes, keys)
     else:
         sized = searched.withColumn("sizes", filed.agg(F.collect_set(F.length("piece"))).scalar())
-    cut = sized.withColumn("parts", pieces(F.col(text), F.col("sizes"))).select(*keys, text, F.explode("parts").alias("piece"))
-    return cut.join(filed, [*keys, "piece"]).where(F.contains(text, needle)).drop("piece")
+    placed = sized.select(*keys, text, "sizes", F.posexplode(starts(F.col(text), reach)).alias("place", "start"))
+    cut = placed.select(*keys, text, "place", "start", F.explode("sizes").alias("size")).where(
+        F.length("start") >= F.col("size")).select(*keys, text, "place", F.left("start", F.col("size")).alias("piece"))
+    # a needle counts at its first place, so each text gives it once
+    first = F.instr(F.col(text), F.col(needle)) == F.col("place") + 1
+    return cut.join(filed, [*keys, "piece"]).where(first).drop("piece", "place")
