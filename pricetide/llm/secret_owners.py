@@ -2,7 +2,9 @@
 
 Candidates are found by pattern with their code point spans. Each candidate's value is hashed, and
 over the whole corpus every hash is counted by the distinct repositories and distinct owners that
-hold it. A value that ``SHARED_BY`` owners or more hold is an example; the others look live.
+hold it. A value that ``SHARED_BY`` owners or ``COPIED_BY`` repositories or more hold is an example: many
+owners do not share a credential, and one pasted into that many repositories, even of one owner, is
+boilerplate. The others look live. Both counts are returned with every span reported.
 Candidates of the base kinds are reported either way, with that verdict; candidates of the broader
 kinds (``MORE``) are reported only if they look live, since mere shape says little about a string
 that everybody has.
@@ -56,6 +58,8 @@ MORE = [
 ]
 KINDS = BASE + MORE
 SHARED_BY = 3
+COPIED_BY = 50
+TOLD = "array<struct<shared:boolean,n_repos:long,n_owners:long>>"
 SPAN = "array<struct<start:long,kind:int,end:long,value:long>>"
 
 
@@ -88,12 +92,12 @@ def candidates(text: Column) -> Column:
         *[spans_of(t, i, kind) for i, kind in enumerate(KINDS)])))
 
 
-def ownership(found: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
+def ownership(found: DataFrame, shared_by: int = SHARED_BY, copied_by: int = COPIED_BY) -> DataFrame:
     """value, n_repos, n_owners and shared for every value of rows (repo, owner, spans)."""
     held = found.select("repo", "owner", F.explode("spans").alias("s")).select("repo", "owner", "s.value")
     return held.groupBy("value").agg(
         F.count_distinct(F.struct("repo")).alias("n_repos"), F.count_distinct(F.struct("owner")).alias("n_owners")
-    ).withColumn("shared", F.col("n_owners") >= shared_by)
+    ).withColumn("shared", (F.col("n_owners") >= shared_by) | (F.col("n_repos") >= copied_by))
 
 
 def printed(spans: Column) -> Column:
@@ -102,25 +106,29 @@ def printed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", shared_by: int = SHARED_BY) -> DataFrame:
-    """doc_id, repo, owner, spans and ``shared``, one verdict per span, a row per row of ``docs``."""
+def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", shared_by: int = SHARED_BY,
+         copied_by: int = COPIED_BY) -> DataFrame:
+    """doc_id, repo, owner, spans and ``told``, the verdict and both counts of each span, a row per row of ``docs``."""
     found = stored(docs.select(
         docs["doc_id"].alias("doc_id"), docs[repo].alias("repo"), docs[owner].alias("owner"),
         candidates(docs["text"]).alias("spans")))
     some = found.where(F.size("spans") > 0).withColumn("list", F.sha2(F.to_json("spans"), 256))
-    verdicts = stored(ownership(found, shared_by)).withColumnRenamed("value", "v").select("v", "shared")
+    verdicts = stored(ownership(found, shared_by, copied_by)).withColumnRenamed("value", "v").select(
+        "v", F.struct("shared", "n_repos", "n_owners").alias("t"))
     lists = some.groupBy("list").agg(F.first("spans").alias("spans"))
     judged = lists.select("list", F.posexplode("spans").alias("i", "s")).join(verdicts, F.col("s.value") == F.col("v"))
-    by_list = stored(judged.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("i", "shared"))).alias("j")).select(
-        F.col("list").alias("l"), F.transform("j", lambda x: x["shared"]).alias("shared")))
-    with_some = some.join(by_list, F.col("list") == F.col("l")).select("doc_id", "repo", "owner", "spans", "shared")
-    without = found.where(F.size("spans") == 0).withColumn("shared", F.array().cast("array<boolean>"))
+    by_list = stored(judged.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("j")).select(
+        F.col("list").alias("l"), F.transform("j", lambda x: x["t"]).alias("told")))
+    with_some = some.join(by_list, F.col("list") == F.col("l")).select("doc_id", "repo", "owner", "spans", "told")
+    without = found.where(F.size("spans") == 0).withColumn("told", F.array().cast(TOLD))
     return with_some.union(without)
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """Per row: counts, the base spans' digest, the spans reported and how many look live or shared."""
-    pairs = F.zip_with("spans", "shared", lambda s, x: F.struct(s.alias("s"), x.alias("shared")))
+    """Per row: counts, the base spans' digest, the spans reported, each with its repositories:owners in ``held``,
+    and how many look live or shared."""
+    pairs = F.zip_with("spans", "told", lambda s, x: F.struct(
+        s.alias("s"), x["shared"].alias("shared"), F.concat_ws(":", x["n_repos"], x["n_owners"]).alias("held")))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     told = F.filter(pairs, lambda p: (p["s"]["kind"] < len(BASE)) | ~p["shared"])
 
@@ -131,6 +139,7 @@ def report(scanned: DataFrame) -> DataFrame:
         "doc_id", *[count(i).alias(f"n_{k.name}") for i, k in enumerate(BASE)],
         F.sha2(printed(base).cast("binary"), 256).alias("base_sha256"),
         printed(F.transform(told, lambda p: p["s"])).alias("spans"),
+        F.array_join(F.transform(told, lambda p: p["held"]), ",").alias("held"),
         F.size(F.filter(told, lambda p: ~p["shared"])).cast("long").alias("n_live"),
         F.size(F.filter(told, lambda p: p["shared"])).cast("long").alias("n_shared"))
 
@@ -157,16 +166,17 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(parts)}),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f JOIN d USING (r) GROUP BY v),
-t AS (SELECT f.*, owners >= {SHARED_BY} AS shared, name || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM f JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repos FROM f JOIN d USING (r) GROUP BY v),
+t AS (SELECT f.*, owners >= {SHARED_BY} OR repos >= {COPIED_BY} AS shared, repos || ':' || owners AS held, name || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM f JOIN o USING (v)),
 a AS (
   SELECT r, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k.name}" for i, k in enumerate(BASE))},
          coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (ok_base), '') AS base,
          coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (ok_base OR NOT shared), '') AS spans,
+         coalesce(string_agg(held, ',' ORDER BY start, kind) FILTER (ok_base OR NOT shared), '') AS held,
          count(*) FILTER (NOT shared) AS n_live, count(*) FILTER (ok_base AND shared) AS n_shared
   FROM t GROUP BY r)
 SELECT doc_id, {', '.join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in BASE)},
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(held, '') AS held,
        coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared
 FROM d LEFT JOIN a USING (r)
 """

@@ -42,7 +42,7 @@ def test_owners_decide(documents):
     example, own, shape = "password=examplevalue", "password=onlymine99", "Ab3" * 9
     rows = [(i, f"x {example} y {shape}", f"org{i % 4}") for i in range(8)] + [
         (20, f"{own} {example}", "org1"), (21, own, "org1"), (22, "Zz9" * 9, "org2"), (22, "Zz9" * 9, "org2")]
-    df = documents(rows).withColumn("spans", F.lit("clash")).withColumn("owner", F.lit(1)).withColumn("list", F.lit(2))
+    df = documents(rows).withColumn("spans", F.lit("clash")).withColumn("owner", F.lit(1)).withColumn("list", F.lit(2)).withColumn("told", F.lit(3)).withColumn("v", F.lit("x"))
     scanned = so.scan(df)
     out = [r for r in so.report(scanned).collect()]
     assert len(out) == 12
@@ -54,6 +54,19 @@ def test_owners_decide(documents):
     assert held == {(9, 4, True), (8, 4, True), (2, 1, False), (1, 1, False)}
 
 
+def test_repositories_decide(documents):
+    """One owner pastes a placeholder into many repositories; owners alone would call it live."""
+    rows = [(i, "token=placeholder1 token=mine-12345", "org") for i in range(50)] + [(i, "token=placeholder1", "org") for i in range(50, 60)]
+    rows += [(i, "token=twice-123456", f"org{i % 2}") for i in (70, 71)]
+    by = {r["doc_id"]: r for r in so.report(so.scan(documents(rows), copied_by=55)).collect()}
+    assert (by[0]["n_live"], by[0]["n_shared"], by[0]["held"]) == (1, 1, "60:1,50:1")
+    assert (by[70]["n_live"], by[70]["held"]) == (1, "2:2")
+    by = {r["doc_id"]: r for r in so.report(so.scan(documents(rows))).collect()}
+    assert (by[0]["n_live"], by[0]["n_shared"]) == (0, 2)
+    by = {r["doc_id"]: r for r in so.report(so.scan(documents(rows), copied_by=61)).collect()}
+    assert (by[0]["n_live"], by[0]["n_shared"]) == (2, 0)
+
+
 def test_null_owners_and_empty_table(documents):
     rows = [(None, "token=abcdefgh1", None), (None, "token=abcdefgh1", None), (3, "token=abcdefgh1", "a"), (4, "token=abcdefgh1", "b")]
     out = so.report(so.scan(documents(rows))).collect()
