@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pricetide import dims
 
 FILES = 8  # of one day, per save
+FIRST_DAYS = 4  # opened at first to list the newest records
+SLACK_DAYS = 2  # a day folder may be off by one where sessions of other time zones wrote
 LISTED = ["id", "query", "created_at", "note", "summary"]
 
 
@@ -108,9 +110,28 @@ class RecordStore:
                 return None
             raise
 
+    def days(self) -> list[str]:
+        """Days that hold records, newest first, from folder names alone; records without a time have none."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.data}/created_date=*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        names = [str(s.getPath().getName()).partition("=")[2] for s in found]
+        return sorted((n for n in names if re.fullmatch(r"\d{4}-\d\d-\d\d", n)), reverse=True)
+
     def latest(self, limit: int = dims.RECORDS_LISTED) -> DataFrame:
+        """The newest records. Days are opened from the newest on, twice as many at each step, until they hold
+        ``limit`` records that are not deleted; older days are never read."""
+        days, opened = self.days(), FIRST_DAYS
+        while opened + SLACK_DAYS < len(days):
+            recent = self._since(days[opened - 1])
+            if recent.select("id").limit(limit).count() >= limit:
+                return latest(self._since(days[opened - 1 + SLACK_DAYS]), limit)
+            opened *= 2
         return latest(self.read(), limit)
 
+    def _since(self, day: str) -> DataFrame:
+        rows = self.spark.read.parquet(self.data)
+        return self._kept(rows.where(F.col("created_date") >= F.lit(day).cast("date")))
+
     def get(self, record: str) -> DataFrame:
         """One record. Its id begins with its day, so that only that day's folder is opened."""
         rows = self.spark.read.parquet(self.data).filter(F.col("id") == record)

@@ -123,6 +123,45 @@ def test_stream_of_pastes(spark):
         (q, i, t, p) for q in "qr" for i, t, p in ((0, "コートA", 1000), (1, "コートB", 2000))]
 
 
+def test_pages_of_a_stream_are_numbered_on(spark):
+    arrived, out, point = folder() + "/in", folder() + "/out", folder()
+    pages = [("q", "yahoo", 1, "¥3,000\nコートC"), ("q", "yahoo", 0, "¥1,000\nコートA\n¥2,000\nコートB"), ("q", "mercari", 1, "¥4,000\nコートD")]
+    for page in pages:
+        spark.createDataFrame([page], ingest.PAGED_PASTES).write.mode("append").parquet(arrived)
+        ingest.append_listings(ingest.read_pastes(spark, arrived, ingest.PAGED_PASTES), out, point).awaitTermination()
+    got = ingest.stored_listings(spark, out).orderBy("source", "pos").collect()
+    assert [(r.source, r.pos, r.title) for r in got] == [
+        ("mercari", 0, "コートD"), ("yahoo", 0, "コートA"), ("yahoo", 1, "コートB"), ("yahoo", 2, "コートC")]
+
+
+def test_listing_opens_the_last_days_only(spark):
+    store = records.RecordStore(spark, folder())
+    one = saved(spark).limit(1).drop("id", "created_at")
+    days = spark.range(300).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 86_400).alias("created_at"), F.format_string("r%04d", "id").alias("id"))
+    filled = one.first().asDict(recursive=True)
+    rows = spark.createDataFrame([filled], one.schema).select("*", F.lit(1).alias("k")).join(
+        days.withColumn("k", F.lit(1)), "k").drop("k")
+    rows = rows.unionByName(rows.where("id = 'r0000'").withColumns({"created_at": F.lit(None).cast("timestamp"), "id": F.lit("untimed")}))
+    store.save(rows)
+    assert len(store.days()) == 300
+
+    def read_days(listed):
+        listed.collect()
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and ">=" in plan.split("PartitionFilters: [")[1].split("]\n")[0]
+        return [r.id for r in listed.collect()]
+
+    assert read_days(store.latest(3)) == ["r0299", "r0298", "r0297"]
+    assert read_days(store.latest(50)) == [f"r{i:04d}" for i in range(299, 249, -1)]
+    since = store._since(store.days()[63])
+    assert since.count() == 64
+    store.delete(spark.createDataFrame([(f"r{i:04d}",) for i in range(290, 300)], "id string"))
+    assert read_days(store.latest(3)) == ["r0289", "r0288", "r0287"]
+    everything = [r.id for r in store.latest(1000).collect()]
+    assert len(everything) == 291 and everything[-1] == "untimed"
+
+
 def test_positions_over_blocks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.hash("id").alias("order"))
     got = number_rows(df, ["k"], ["order"], F.floor(F.col("order") / 100_000_000)).collect()
