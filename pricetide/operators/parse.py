@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pricetide import dims
 from pricetide.functions import text as tx
@@ -150,11 +150,12 @@ def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
         *keys, "lines", "ignored_samples",
         F.when(F.col("table"), F.lit("table")).otherwise(F.lit("flow")).alias("mode"),
         F.when(F.col("table"), F.col("table_rows")).otherwise(flow_rows).alias("entries"),
+        # the size of entries, stated so that a plan that only counts drops the pairing and the titles
+        F.when(F.col("table"), F.size("table_rows")).otherwise(F.size("prices")).alias("prices_found"),
     )
-    count = F.size("entries")
+    count = F.col("prices_found")
     return result.select(
-        *keys, "entries", "mode", "lines",
-        count.alias("prices_found"),
+        *keys, "entries", "mode", "lines", "prices_found",
         F.size(F.filter("entries", lambda e: e["title"] == "")).alias("untitled"),
         "ignored_samples",
         F.when((F.col("lines") > 0) & (count == 0), F.lit(dims.UNREADABLE_PASTE)).alias("error"),
@@ -162,11 +163,26 @@ def parse_pastes(pastes: DataFrame, text: str = "text") -> DataFrame:
 
 
 def page_starts(parsed: DataFrame, page: str | None) -> DataFrame:
-    """Adds ``start``: how many entries the earlier pages of the same quote and source hold."""
+    """Adds ``start``: how many entries the earlier pages of the same quote and source hold.
+
+    The running sum is over one narrow row a page, and parsed pages meet it by their page, so a source of
+    very many pages is spread over tasks. Pastes of one page number are taken in the order of their entries.
+    """
     if page is None:
         return parsed.withColumn("start", F.lit(0).cast("bigint"))
-    earlier = Window.partitionBy("quote_id", "source").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    return parsed.withColumn("start", F.coalesce(F.sum("prices_found").over(earlier), F.lit(0)).cast("bigint"))
+    # keys in a struct meet where they are null as well
+    keyed = parsed.withColumn("page_key", F.struct("quote_id", "source", F.col(page).alias("page")))
+    sizes = keyed.groupBy("page_key").agg(F.sum("prices_found").alias("size"))
+    earlier = Window.partitionBy("page_key.quote_id", "page_key.source").orderBy("page_key.page")
+    starts = sizes.select("page_key", F.sum("size").over(_before(earlier)).alias("earlier"))
+    placed = keyed.withColumn("within", F.sum("prices_found").over(
+        _before(Window.partitionBy("page_key").orderBy("entries"))))
+    start = F.coalesce("earlier", F.lit(0)) + F.coalesce("within", F.lit(0))
+    return placed.join(starts, "page_key").withColumn("start", start.cast("bigint")).drop("page_key", "earlier", "within")
+
+
+def _before(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def entries(parsed: DataFrame, page: str | None = None) -> DataFrame:

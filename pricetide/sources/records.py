@@ -1,20 +1,29 @@
 """Saved quotes: append, list, get, delete.
 
 Records are Parquet, partitioned by day. Deleting appends ids to a second Parquet folder, which
-readers anti-join; ``compact`` writes a fresh copy without them. Nothing is overwritten in place, so a
-lost executor or driver never leaves a half-written day behind.
+readers anti-join. ``fold`` rewrites the days that hold deleted records into a new version and then
+writes the pointer that makes readers follow it; ``compact`` writes a fresh copy of everything. Nothing
+is overwritten in place, so a lost executor or driver never leaves a half-written day behind.
+
+    records/created_date=D/          what is saved
+    deleted/                         ids
+    folded/version=N/created_date=D/ days without their deleted records
+    pointers/N.json                  committed versions, files they replace, deletions they hold
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pricetide import dims
 
-FILES = 8  # of one day, per save
 FIRST_DAYS = 4  # opened at first to list the newest records
 SLACK_DAYS = 2  # a day folder may be off by one where sessions of other time zones wrote
 LISTED = ["id", "query", "created_at", "note", "summary"]
@@ -78,6 +87,16 @@ def records(summaries: DataFrame, inputs: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Pointer:
+    """What readers follow: the newest pointer file, or this where there is none."""
+
+    number: int = 0
+    versions: tuple[int, ...] = ()
+    replaced: tuple[str, ...] = ()  # day folder and name of files that a version stands for
+    applied: tuple[str, ...] = ()  # files of deletions that a version holds
+
+
 class RecordStore:
     """Paths of one set of records."""
 
@@ -85,36 +104,112 @@ class RecordStore:
         self.spark = spark
         self.data = f"{folder}/records"
         self.deleted = f"{folder}/deleted"
+        self.folded = f"{folder}/folded"
+        self.pointers = f"{folder}/pointers"
 
     def save(self, rows: DataFrame) -> None:
-        self._write(rows.withColumn("created_date", F.to_date("created_at")), "append")
+        self._write(rows.withColumn("created_date", F.to_date("created_at")), self.data, "append")
 
-    def _write(self, dated: DataFrame, mode: str) -> None:
-        """A day becomes at most ``FILES`` files, whatever the number of tasks."""
-        part = F.pmod(F.xxhash64("id"), F.lit(FILES))
-        dated.repartition("created_date", part).write.mode(mode).partitionBy("created_date").parquet(self.data)
+    def _write(self, dated: DataFrame, path: str, mode: str) -> None:
+        """Days become files of about the advisory partition size, as the shuffle measures it.
 
-    def read(self) -> DataFrame:
-        return self._kept(self.spark.read.parquet(self.data))
+        A small day is one file, or a few where it shares a shuffle partition with a large one.
+        """
+        dated.hint("rebalance", F.col("created_date")).write.mode(mode).partitionBy("created_date").parquet(path)
 
-    def _kept(self, rows: DataFrame) -> DataFrame:
-        tombstones = self._tombstones()
-        return rows if tombstones is None else rows.join(tombstones, "id", "left_anti")
-
-    def _tombstones(self) -> DataFrame | None:
+    def read(self) -> DataFrame:
+        pointer = self.pointer()
+        return self._kept(self._rows(pointer), pointer).drop("file")
+
+    def _rows(self, pointer: Pointer) -> DataFrame:
+        """Records of one version with their ``file``, those not yet folded away included."""
+        def standing(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn("file", F.substring_index("_metadata.file_path", "/", -2))
+            return rows.where(~F.col("file").isin(list(pointer.replaced))) if pointer.replaced else rows
+
+        saved = self.spark.read.parquet(self.data)
+        rows = standing(saved)
+        if pointer.versions:
+            schema = StructType([*saved.schema, StructField("version", IntegerType())])
+            folded = self.spark.read.schema(schema).parquet(self.folded)
+            rows = rows.unionByName(standing(folded.where(F.col("version").isin(list(pointer.versions)))).drop("version"))
+        return rows
+
+    def _kept(self, rows: DataFrame, pointer: Pointer) -> DataFrame:
+        tombstones = self._tombstones(pointer)
+        return rows if tombstones is None else rows.join(tombstones.select("id").distinct(), "id", "left_anti")
+
+    def _tombstones(self, pointer: Pointer) -> DataFrame | None:
         schema = "id string"
         try:
-            return self.spark.read.schema(schema).parquet(self.deleted).select("id").distinct()
+            rows = self.spark.read.schema(schema).parquet(self.deleted)
         except Exception as error:  # no folder until the first deletion
             if "PATH_NOT_FOUND" in str(error):
                 return None
             raise
+        return rows.where(~F.col("_metadata.file_name").isin(list(pointer.applied))) if pointer.applied else rows
+
+    def _path(self, path: str):
+        """A Hadoop path and its file system."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, pattern: str) -> list[str]:
+        path, files = self._path(pattern)
+        return [str(s.getPath().getName()) for s in files.globStatus(path) or []]
+
+    def pointer(self) -> Pointer:
+        numbers = [int(n[:-5]) for n in self._listed(f"{self.pointers}/*.json") if re.fullmatch(r"\d+\.json", n)]
+        if not numbers:
+            return Pointer()
+        path, files = self._path(f"{self.pointers}/{max(numbers)}.json")
+        stream = files.open(path)
+        try:
+            held = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Pointer(**{name: tuple(v) if isinstance(v, list) else v for name, v in held.items()})
+
+    def _commit(self, pointer: Pointer) -> None:
+        """Written aside, then renamed to a name that must be free, so that readers see a whole pointer or none."""
+        aside, files = self._path(f"{self.pointers}/.{uuid.uuid4().hex}")
+        out = files.create(aside)
+        out.write(bytearray(json.dumps(asdict(pointer)).encode()))
+        out.close()
+        final, _ = self._path(f"{self.pointers}/{pointer.number}.json")
+        if files.exists(final) or not files.rename(aside, final):
+            raise RuntimeError(f"another fold has written pointer {pointer.number}")
+
+    def fold(self) -> bool:
+        """Rewrite the days that hold deleted records, then switch readers over; False where nothing is deleted.
+
+        Files of other days stay. Records saved and deletions made meanwhile are in files this version does
+        not name, so they keep counting. Folds of one store run one at a time: the second to finish fails at its
+        pointer and changes nothing. A deleted id that is saved again after its deletion was folded is a new record.
+        The driver holds the touched days and the names of their files.
+        """
+        before = self.pointer()
+        gone = self._tombstones(before)
+        if gone is None:
+            return False
+        applied = [r[0] for r in gone.select("_metadata.file_name").distinct().collect()]
+        gone, rows = gone.select("id").distinct(), self._rows(before)
+        days = [r[0] for r in rows.join(gone, "id", "left_semi").select("created_date").distinct().collect()]
+        day, versions, replaced = F.col("created_date"), before.versions, before.replaced
+        if days:
+            held = rows.where(day.isin([d for d in days if d is not None]) | (day.isNull() & F.lit(None in days)))
+            stored = [r[0] for r in held.select("file").distinct().collect()]
+            version = max(versions, default=0) + 1
+            while self._listed(f"{self.folded}/version={version}"):  # left by a fold that did not finish
+                version += 1
+            self._write(held.join(gone, "id", "left_anti").drop("file"), f"{self.folded}/version={version}", "error")
+            versions, replaced = (*versions, version), (*replaced, *stored)
+        self._commit(Pointer(before.number + 1, versions, replaced, (*before.applied, *applied)))
+        return True
 
     def days(self) -> list[str]:
         """Days that hold records, newest first, from folder names alone; records without a time have none."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.data}/created_date=*")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        names = [str(s.getPath().getName()).partition("=")[2] for s in found]
+        names = [name.partition("=")[2] for name in self._listed(f"{self.data}/created_date=*")]
         return sorted((n for n in names if re.fullmatch(r"\d{4}-\d\d-\d\d", n)), reverse=True)
 
     def latest(self, limit: int = dims.RECORDS_LISTED) -> DataFrame:
@@ -129,16 +224,15 @@ class RecordStore:
         return latest(self.read(), limit)
 
     def _since(self, day: str) -> DataFrame:
-        rows = self.spark.read.parquet(self.data)
-        return self._kept(rows.where(F.col("created_date") >= F.lit(day).cast("date")))
+        return self.read().where(F.col("created_date") >= F.lit(day).cast("date"))
 
     def get(self, record: str) -> DataFrame:
         """One record. Its id begins with its day, so that only that day's folder is opened."""
-        rows = self.spark.read.parquet(self.data).filter(F.col("id") == record)
+        rows = self.read().filter(F.col("id") == record)
         day = re.match(r"(\d{4})(\d\d)(\d\d)-", record)
         if day:
             rows = rows.filter(F.col("created_date") == F.lit("-".join(day.groups())).cast("date"))
-        return self._kept(rows)
+        return rows
 
     def delete(self, ids: DataFrame) -> None:
         ids.select("id").distinct().write.mode("append").parquet(self.deleted)
@@ -146,7 +240,7 @@ class RecordStore:
     def compact(self, folder: str) -> "RecordStore":
         """A copy without deleted records, in a new folder, for readers to switch to."""
         fresh = RecordStore(self.spark, folder)
-        fresh._write(self.read(), "error")
+        fresh._write(self.read(), fresh.data, "error")
         return fresh
 
 

@@ -111,3 +111,25 @@ def test_large_page_is_linear(spark):
     df = spark.createDataFrame([(1, text)], "k int, text string")
     last = parse.entries(parse.parse_pastes(df)).orderBy(F.desc("pos")).first()
     assert (last.pos, last.title, last.price) == (19999, "コート19999番", 20999)
+
+
+def test_pages_are_numbered_on(spark):
+    rng = random.Random(5)
+    rows = []
+    for q, s in ((1, "a"), (1, "b"), (None, "a"), (1, None), (2, "a")):
+        for page in [None, 3, 3, *rng.sample(range(10), 4)]:
+            first = rng.randint(1000, 9000)
+            rows.append((q, s, page, "\n".join(f"¥{first + i}\nコート{first + i}番" for i in range(rng.randint(0, 4)))))
+    parsed = parse.parse_pastes(spark.createDataFrame(rows, "quote_id int, source string, page int, text string"))
+    started = parse.page_starts(parsed, "page")
+    plan = started._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # the side that counts pairs no titles
+    got = started.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        def order(x):
+            return (x.page is not None, x.page or 0, [tuple(e) for e in x.entries])
+
+        group = [x for x in got if (x.quote_id, x.source) == (r.quote_id, r.source)]
+        assert r.start in {sum(x.prices_found for x in group if order(x) < order(r))}
+        assert r.prices_found == len(r.entries)

@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricetide import dims
@@ -82,9 +83,10 @@ def read_bytes(paths):
 
 
 def test_csv_by_quote(spark):
-    rows = quoted(spark).rows.withColumn("title", F.concat(F.lit('a "b", '), F.col("title")))
+    job = quoted(spark)
+    rows = job.rows.withColumn("title", F.concat(F.lit('a "b", '), F.col("title")))
     out = folder() + "/csv"
-    csv_export.write_by_quote(rows, out, stats.source_order(F.col("source"), SOURCES))
+    csv_export.write_by_quote(rows, out, stats.source_order(F.col("source"), SOURCES), csv_export.listing_sizes(job.listings))
     text = read_bytes(glob.glob(f"{out}/quote_id=q1/part-*")).decode("utf-8")
     lines = text.split("\r\n")
     assert lines[0] == "﻿" + ",".join(f'"{h}"' for h in dims.EXPORT_HEADER)
@@ -92,6 +94,32 @@ def test_csv_by_quote(spark):
     assert len(lines) == 7 and lines[-1] == ""
 
 
+def test_csv_files_are_planned_before_the_rows(spark):
+    sizes = {("q0", "mercari"): 7, ("q0", "yahoo"): 95, ("q1", "yahoo"): 3, ("q1", None): 2, ("q2", "mercari"): 1}
+    listed = [(q, s, i, f"title {q} {s} {i}", 5000 + i) for (q, s), n in sizes.items() for i in range(n)]
+    listings = spark.createDataFrame(listed, "quote_id string, source string, pos bigint, title string, price bigint")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    rows = listings.repartition(5).select(
+        "quote_id", "source", "pos", F.col("source").alias("label"), counted.asNondeterministic()("title").alias("title"), "price",
+        F.lit("loose").alias("tier"), F.lit(True).alias("in_basis"), F.lit(None).cast("string").alias("exclude_reason"))
+    out = folder() + "/csv"
+    csv_export.write_by_quote(
+        rows, out, stats.source_order(F.col("source"), SOURCES), csv_export.listing_sizes(listings), rows_per_file=20)
+    assert seen.value == len(listed)
+    for q, sources in (("q0", ["yahoo", "mercari"]), ("q1", ["yahoo", None]), ("q2", ["mercari"])):
+        text = read_bytes(glob.glob(f"{out}/quote_id={q}/part-*")).decode("utf-8")
+        titles = [line.split(",")[1] for line in text.split("\r\n")[1:-1]]
+        assert titles == [f'"title {q} {s} {i}"' for s in sources for i in range(sizes[q, s])]
+        assert text.count("﻿") == 1 and text.startswith("﻿")
+    assert len(glob.glob(f"{out}/quote_id=q0/part-*")) == 6 and len(glob.glob(f"{out}/quote_id=q1/part-*")) == 1
+
+
 def test_csv_table(spark):
     out = folder() + "/csv"
     csv_export.write_table(quoted(spark).rows, out)
@@ -190,3 +218,88 @@ def test_one_record_opens_one_day(spark):
     assert [r.id for r in one.collect()] == [record] and store.get("unknown").count() == 0
     days = glob.glob(f"{store.data}/created_date=*")
     assert len(days) == 3 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in days)
+
+
+def record_days(spark, days, each=3):
+    """Records of some days, several of each, one of them with a long text."""
+    one = saved(spark).limit(1).drop("id", "created_at")
+    keys = spark.range(days * each).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / each) * 86_400).alias("created_at"),
+        F.format_string("r%04d", "id").alias("id"))
+    return spark.createDataFrame([one.first().asDict(recursive=True)], one.schema).select("*", F.lit(1).alias("k")).join(
+        keys.withColumn("k", F.lit(1)), "k").drop("k").select("id", "created_at", *one.columns)
+
+
+def files_of(store):
+    return set(glob.glob(f"{store.data}/*/*.parquet"))
+
+
+def ids(rows):
+    return sorted(r.id for r in rows.select("id").collect())
+
+
+def test_fold_rewrites_touched_days_and_switches_once(spark):
+    store = records.RecordStore(spark, folder())
+    rows = record_days(spark, 6).unionByName(
+        record_days(spark, 1).withColumns({"created_at": F.lit(None).cast("timestamp"), "id": F.concat(F.lit("u"), "id")}))
+    store.save(rows)
+    everything, files = ids(store.read()), files_of(store)
+    assert len(everything) == 21 and not store.fold()
+    gone = ["r0000", "r0003", "r0004", "r0005", "ur0001", "unknown"]
+    store.delete(spark.createDataFrame([(i,) for i in gone], "id string"))
+    kept = [i for i in everything if i not in gone]
+
+    early = store.read()  # a reader that began before the switch
+    commit, seen = store._commit, []
+
+    def between(pointer):
+        # the version is written, nothing points to it: readers see the state before, whole
+        seen.append((ids(records.RecordStore(spark, store.data[:-len("/records")]).read()), pointer))
+        store.delete(spark.createDataFrame([("r0008",)], "id string"))
+        store.save(record_days(spark, 1).where("id = 'r0001'").withColumn("id", F.lit("late")))
+        commit(pointer)
+
+    store._commit = between
+    assert store.fold()
+    assert seen[0][0] == kept and ids(early) == kept
+    pointer = store.pointer()
+    assert pointer == seen[0][1] and pointer.versions == (1,)
+    assert {name.split("/")[0] for name in pointer.replaced} == {
+        "created_date=2023-11-14", "created_date=2023-11-15", "created_date=__HIVE_DEFAULT_PARTITION__"}
+    # days without deletions keep their files, and what came meanwhile counts
+    assert files < files_of(store)
+    assert len(glob.glob(f"{store.folded}/version=1/*/*.parquet")) == 2
+    now = sorted(set(kept) - {"r0008"} | {"late"})
+    assert ids(store.read()) == now
+    assert ids(store.latest(100)) == now and ids(store.get("r0001")) == ["r0001"] and ids(store.get("r0003")) == []
+    assert ids(store.compact(folder()).read()) == now
+
+    store._commit = commit
+    store.delete(spark.createDataFrame([("late",), ("r0002",)], "id string"))
+    assert store.fold() and ids(store.read()) == sorted(set(now) - {"late", "r0002"})
+    assert store.fold() and ids(store.read()) == sorted(set(now) - {"late", "r0002"})
+    # the second of two folds changes nothing
+    with pytest.raises(RuntimeError):
+        store._commit(records.Pointer(store.pointer().number))
+    # an unfinished version is passed over, and a store can lose all its records
+    store.delete(store.read().select("id"))
+    record_days(spark, 1).write.parquet(f"{store.folded}/version=3/created_date=2023-11-14")
+    assert store.fold() and ids(store.read()) == [] and 3 not in store.pointer().versions
+
+
+def test_files_of_a_day_follow_its_size(spark):
+    store = records.RecordStore(spark, folder())
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha2(F.concat("id", k.cast("string")), 256)), "")
+    rows = record_days(spark, 4, each=400).withColumn("tag_text", F.when(F.col("id") < "r0400", noise).otherwise(F.lit("")))
+    arrived = folder() + "/arrived"
+    rows.repartition(8).write.parquet(arrived)
+    rows = spark.read.parquet(arrived)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        store.save(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    count = {d: len(glob.glob(f"{store.data}/created_date={d}/*.parquet")) for d in store.days()}
+    # a small day may share the partition of the large one
+    assert count["2023-11-14"] > 4 and min(n for d, n in count.items() if d != "2023-11-14") == 1
+    assert store.read().count() == 1600
