@@ -1,32 +1,40 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney model of order two or three, counted in Spark and read from memory-mapped arrays.
 
 Words are runs of anything but ASCII blanks, A-Z as a-z; every text ends with an end token and begins
 after a start mark that is never predicted itself.
 
-    p(w | v) = (c(v w) - D(c(v w))) / c(v .) + gamma(v) * p(w)
-    p(w)     = (N(. w) - D'(N(. w))) / N(. .) + gamma' / (V + 1)
+    p(w | u v) = (c(u v w) - D3(c(u v w))) / c(u v .) + gamma(u v) * p(w | v)
+    p(w | v)   = (a(v w) - D2(a(v w))) / a(v .) + gamma(v) * p(w)
+    p(w)       = (N(. w) - D1(N(. w))) / N(. .) + gamma' / (V + 1)
 
-c counts occurrences, N(. w) the different words before w, V the different training tokens; the
-discounts D and D' for counts of 1, 2 and 3 or more come from the counts of counts, and gamma gives
-back what they took.
+c counts occurrences, N(. w) the different words before w, V the different training tokens. At order
+three a(v w) is the number of different words before the pair, but the occurrences of a pair that opens
+a text; at order two, where p(w | v) is the whole model, it is the occurrences. The first token of a text
+has no word before the start mark and stays at p(w | v). The discounts of a level for counts of 1, 2 and
+3 or more come from its counts of counts, and gamma gives back what they took.
 
 1. Words: each task counts its tokens, hashes the different ones to 64 bits and sends sorted runs to
    the shard that owns that range of hashes, which merges them. The shards in order are one sorted
    hash array; a word's number is its place in it.
-2. Word pairs: each task counts pairs of numbers and sends sorted runs to shards, which merge them
-   into sorted arrays of (pair, count). A shard owns whole contexts, so that it can sum them up; the
-   pairs of very frequent contexts are dealt over all shards.
-3. Contexts and continuations: sums per context and the number of contexts per word go back to the
+2. Word triples (order three): each task counts (two words, next word) and sends sorted runs to shards,
+   which merge them into a sorted array of contexts with their sums and a sorted array of (place of the
+   context, next word) with counts. A shard owns whole contexts; those of two very frequent words are
+   dealt over all shards, and their partial sums are merged by the next stage. Shards send on how many
+   contexts each pair (last word, next word) has.
+3. Word pairs: each task counts pairs of numbers (order two), or stage 2 has counted them, and sorted
+   runs go to shards, which merge them into sorted arrays of (pair, count). A shard owns whole contexts,
+   so that it can sum them up; the pairs of very frequent contexts are dealt over all shards.
+4. Contexts and continuations: sums per context and the number of contexts per word go back to the
    shards of the words as sorted runs.
-4. Scoring: tasks map the arrays into memory and look up their texts' different pairs in sorted
-   order. No model passes through the driver, and no text is shuffled.
+5. Scoring: tasks map the arrays into memory and look up their texts' different pairs and triples in
+   sorted order. No model passes through the driver, and no text is shuffled.
 
 What a task holds is one run of tokens (``RUN`` to count, ``LOOKUP`` to look up) or one shard, and shards grow in number with the
 input (``SHARD_BYTES``). Only shard sizes and sums reach the driver.
 
 Defined results: a null or empty text is the end token alone; unseen words share what is left over
-for one more word than the vocabulary; rows are scored each for itself; without training texts every
-token has probability 1; an empty table gives no rows.
+for one more word than the vocabulary; a word behind an unseen one falls back to the level below; rows are
+scored each for itself; without training texts every token has probability 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +56,8 @@ from pricetide.llm.words import Remembered, in_small_batches
 
 END, START = b"\n", b" "  # blanks are never words
 START_NUMBER = 0xFFFFFFFF
+NONE = 0xFFFFFFFE  # stands before the start mark, and for an unseen word
+ORDER = 3
 RUN = 2_000_000
 LOOKUP = 250_000  # tokens that are looked up together
 SHARD_BYTES = 16 << 20
@@ -95,15 +105,21 @@ def sent(shard: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBa
         pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["shard", "keys", "values"])
 
 
-def received(batches: Iterator[pa.RecordBatch], key, value, width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Merged runs of each shard; rows come sorted by shard."""
+def gathered(batches: Iterator[pa.RecordBatch], key, value, width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All runs of each shard, one after another; rows come sorted by shard."""
     rows = ((s.as_py(), k.as_py(), v.as_py()) for b in batches for s, k, v in zip(b["shard"], b["keys"], b["values"]))
     for shard, group in groupby(rows, key=lambda r: r[0]):
         keys, values = [], []
         for _, k, v in group:
             keys.append(np.frombuffer(k, key))
             values.append(np.frombuffer(v, value).reshape(-1, width).astype(np.int64))
-        yield shard, *summed(np.concatenate(keys), np.concatenate(values))
+        yield shard, np.concatenate(keys), np.concatenate(values)
+
+
+def received(batches: Iterator[pa.RecordBatch], key, value, width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Merged runs of each shard."""
+    for shard, keys, values in gathered(batches, key, value, width):
+        yield shard, *summed(keys, values)
 
 
 def dealt(df: DataFrame, shards: int) -> DataFrame:
@@ -255,15 +271,115 @@ def count_pairs(words: Words, shards: int):
     return run
 
 
+def triple_shard(context: np.ndarray, word: np.ndarray, shards: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shards of triples, and which contexts are dealt over all of them.
+
+    A pair occurs no more often than either of its words, so frequent pairs are among those of two frequent words.
+    """
+    spread = np.isin(context >> U64(32), frequent) & np.isin(context & U64(START_NUMBER), frequent)
+    return (mixed(np.where(spread, mixed(context) ^ word, context)) % U64(shards)).astype(np.int64), spread
+
+
+def sums_shard(context: np.ndarray, shards: int) -> np.ndarray:
+    """Where the sums of a context that is dealt over all shards are merged."""
+    return (mixed(context) % U64(shards)).astype(np.int64)
+
+
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.ones(len(keys[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+def merged(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different triples in order with their counts."""
+    order = np.lexsort((word, context))
+    context, word, counts = context[order], word[order], counts[order]
+    first = np.flatnonzero(firsts(context, word))
+    return context[first], word[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def triple_frequent(words: Words) -> np.ndarray:
+    return np.array([*words.frequent, NONE], dtype=U64)
+
+
+def count_triples(words: Words, shards: int):
+    frequent = triple_frequent(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            context, word = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            context, word, counts = merged(context, word, np.ones(len(word), dtype=np.int64))
+            return sent(triple_shard(context, word, shards, frequent)[0], context, np.stack([word, counts], axis=1).astype(U32))
+
+        for batch in batches:
+            for texts in in_runs(batch["text"].to_pylist()):
+                numbers = numbered(texts, words)[0].astype(U64)
+                last, word = numbers[:-1], numbers[1:]
+                outer = np.concatenate((np.array([NONE], dtype=U64), numbers[:-2]))
+                context = (np.where(last == START_NUMBER, U64(NONE), outer) << U64(32)) | last
+                real = word != START_NUMBER
+                held.append((context[real], word[real]))
+                size += len(held[-1][0])
+                if size >= RUN:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def keep_triples(folder: str, words: Words, shards: int):
+    """Stores a shard's triples; sends pairs to their shards.
+
+    Shards from ``shards`` on carry the total, ones, twos and more of contexts that are dealt over all shards, each
+    ``shards`` apart; shard -3 the counts of counts.
+    """
+    of_pairs, of_triples = np.array(words.frequent, dtype=U64), triple_frequent(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, context, values in gathered(batches, U64, U32, 2):
+            context, word, counts = merged(context, values[:, 0].astype(U64), values[:, 1])
+            opens = context >> U64(32) == NONE
+            pairs, n = summed((context << U64(32)) | word, np.where(opens, counts, 1))
+            yield sent(pair_shard(pairs, shards, of_pairs), pairs, n.astype(U32))
+            context, word, counts = context[~opens], word[~opens], counts[~opens]
+            if not len(context):
+                continue
+            new = firsts(context)
+            first = np.flatnonzero(new)
+            ones, twos = counts == 1, counts == 2
+            columns = (counts, ones, twos, ~(ones | twos))
+            sums = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in columns], axis=1)
+            put(folder, f"context-{shard}", context[first])
+            put(folder, f"context-sums-{shard}", sums.astype(U32))
+            put(folder, f"triple-{shard}", ((np.cumsum(new) - 1).astype(U64) << U64(32)) | word)
+            put(folder, f"triple-count-{shard}", counts.astype(U32))
+            yield sent(np.full(4, -3), np.arange(4, dtype=U64), np.array(tallied(counts), dtype=U32))
+            far = triple_shard(context[first], word[first], shards, of_triples)[1]
+            owner = sums_shard(context[first][far], shards)
+            for k in range(4):
+                order = np.argsort(owner, kind="stable")
+                yield sent(shards * (1 + k) + owner[order], context[first][far][order], sums[far, k][order].astype(U32))
+
+    return run
+
+
 def tallied(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4."""
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def keep_pairs(folder: str, words: Words):
+def keep_pairs(folder: str, words: Words, shards: int):
     """Stores a shard's pairs; sends (number; total, ones, twos, more, continuations) to the words' shards.
 
-    Shard -1 carries the start mark, -2 the counts of counts.
+    Shard -1 carries the start mark, -2 and -3 the counts of counts of pairs and triples.
     """
     offsets = words.offsets
 
@@ -274,7 +390,14 @@ def keep_pairs(folder: str, words: Words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, pairs, counts in received(batches, U64, U32):
-            counts = counts[:, 0]
+            counts = counts[:, 0] if counts.ndim > 1 else counts
+            if shard == -3:
+                yield sent(np.array([-3]), np.array([0], dtype=U32), np.array([[*counts, 0]], dtype=U32))
+                continue
+            if shard >= shards:
+                put(folder, f"far-{shard}", pairs)
+                put(folder, f"far-sum-{shard}", counts.astype(U64))
+                continue
             put(folder, f"pair-{shard}", pairs)
             put(folder, f"pair-count-{shard}", counts.astype(U32))
             context = pairs >> U64(32)
@@ -328,6 +451,7 @@ class Model:
     start: tuple[int, ...]  # sums of the start mark as a context
     continuations: int
     left_over: float  # gamma'
+    of_triples: tuple[float, float, float] | None = None  # of order three
 
     def discounted(self, counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
         taken = np.select([counts == 0, counts == 1, counts == 2], [0.0, by[0], by[1]], by[2])
@@ -348,6 +472,55 @@ class Model:
                 out[mine] = np.where(known[at] == pairs[mine], found, 0)
         return out
 
+    def triple_counts(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of sorted different triples, and total, ones, twos and more of their contexts, shard by shard."""
+        shard, spread = triple_shard(context, word, self.shards, triple_frequent(self.words))
+        counts, sums = np.zeros(len(context)), np.zeros((len(context), 4))
+        folder = self.words.folder
+        for s in np.unique(shard):
+            mine = np.flatnonzero(shard == s)
+            known = arrays(folder, f"context-{s}", "u8")
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, context[mine]), len(known) - 1)
+            held = known[at] == context[mine]
+            mine, at = mine[held], at[held]
+            sums[mine] = arrays(folder, f"context-sums-{s}", "u4").reshape(-1, 4)[at]
+            triples, keys = arrays(folder, f"triple-{s}", "u8"), (at.astype(U64) << U64(32)) | word[mine]
+            at = np.minimum(np.searchsorted(triples, keys), len(triples) - 1)
+            counts[mine] = np.where(triples[at] == keys, arrays(folder, f"triple-count-{s}", "u4")[at], 0)
+        far = np.flatnonzero(spread)
+        owner = sums_shard(context[far], self.shards)
+        for s in np.unique(owner):
+            mine = far[owner == s]
+            for k in range(4):
+                known = arrays(folder, f"far-{self.shards * (1 + k) + s}", "u8")
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, context[mine]), len(known) - 1)
+                    found = arrays(folder, f"far-sum-{self.shards * (1 + k) + s}", "u8")[at]
+                    sums[mine, k] = np.where(known[at] == context[mine], found, 0)
+        return counts, sums
+
+    def raised(self, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of order three over those of order two, for tokens behind two known ones of their text."""
+        u, v, w = numbers[:-2], numbers[1:-1], numbers[2:]
+        at = np.flatnonzero((u >= 0) & (v >= 0) & (v != START_NUMBER) & (w != START_NUMBER))
+        if not len(at):
+            return p
+        context = (u[at].astype(U64) << U64(32)) | v[at].astype(U64)
+        word = np.where(w[at] < 0, NONE, w[at]).astype(U64)
+        order = np.lexsort((word, context))
+        new = firsts(context[order], word[order])
+        which = np.empty(len(at), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        counts, sums = self.triple_counts(context[order][new], word[order][new])
+        total = np.maximum(sums[:, 0], 1)
+        top = self.discounted(counts, self.of_triples) / total
+        back = np.where(sums[:, 0] > 0, (sums[:, 1:] @ np.array(self.of_triples)) / total, 1.0)
+        out = p.copy()
+        out[at + 1] = top[which] + back[which] * p[at + 1]
+        return out
+
     def log_probabilities(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every token but the first: log10 by the model, by add-one counts, and whether it is known."""
         words = self.words
@@ -370,7 +543,8 @@ class Model:
         found[real] = self.pair_counts(pairs[real])
         p = self.discounted(found, self.of_pairs) / np.maximum(total[c], 1) + back[c] * single[w]
         base = np.log10((counts[word] + 1) / (words.tokens + words.v + 1))
-        return np.log10(p)[where], base, counts[word] > 0
+        p = p[where] if self.of_triples is None else self.raised(numbers, p[where])
+        return np.log10(p), base, counts[word] > 0
 
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base_score and score of each text."""
@@ -389,8 +563,10 @@ def trained_on(doc_id: Column) -> Column:
     return ~F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Count the model of the texts of ``docs``; its arrays stay in the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order is two or three")
     spark = docs.sparkSession
     texts = in_small_batches(docs).select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -407,11 +583,15 @@ def train(docs: DataFrame) -> Model:
     frequent = {START_NUMBER} | {int(offsets[s]) + i for s, r in by.items() for i, n in zip(r["top"], r["top_counts"])
                                  if n * FREQUENT * shards > tokens}
     words = Words(folder, word_shards, sizes, tokens, tuple(sorted(frequent)))
-    if words.v >= START_NUMBER:
+    if words.v >= NONE:
         raise ValueError("word numbers have 32 bits")
 
-    pairs = dealt(texts.mapInArrow(count_pairs(words, shards), SENT), shards)
-    sums = dealt(pairs.mapInArrow(keep_pairs(folder, words), SENT), word_shards).mapInArrow(
+    if order == 2:
+        pairs = texts.mapInArrow(count_pairs(words, shards), SENT)
+    else:
+        pairs = dealt(texts.mapInArrow(count_triples(words, shards), SENT), shards).mapInArrow(
+            keep_triples(folder, words, shards), SENT)
+    sums = dealt(dealt(pairs, shards).mapInArrow(keep_pairs(folder, words, shards), SENT), word_shards).mapInArrow(
         keep_contexts(folder, words), "shard long, sums array<long>, tally array<long>").collect()
     at = {r["shard"]: r for r in sums}
     real = [r for r in sums if r["shard"] >= 0]
@@ -422,7 +602,8 @@ def train(docs: DataFrame) -> Model:
     taken = of_words[0] * word_tally[0] + of_words[1] * word_tally[1] + of_words[2] * several
     return Model(words, shards, discounts(at[-2]["sums"][:4] if -2 in at else [0, 0, 0, 0]), of_words,
                  tuple(at[-1]["sums"]) if -1 in at else (0,) * 5, continuations,
-                 taken / continuations if continuations else 1.0)
+                 taken / continuations if continuations else 1.0,
+                 discounts(at[-3]["sums"][:4] if -3 in at else [0, 0, 0, 0]) if order == 3 else None)
 
 
 def scored(docs: DataFrame, model: Model, into: str = "lm") -> DataFrame:

@@ -16,14 +16,20 @@ def low(text):
     return "".join(c.lower() if c.isascii() else c for c in text or "").split()
 
 
-def slow_model(texts):
-    """p(w, v) of the model from its definition, over dicts."""
-    pairs, tokens = Counter(), Counter()
+def slow_model(texts, order=3):
+    """p(w, v, u) of the model from its definition, over dicts; u is None for the first token of a text."""
+    triples, occurs, tokens = Counter(), Counter(), Counter()
     for t in texts:
         seq = low(t) + [END]
         tokens.update(seq)
-        pairs.update(zip(["<start>", *seq], seq))
-    follow, before = defaultdict(list), Counter()
+        occurs.update(zip(["<start>", *seq], seq))
+        triples.update(zip(["<start>", *seq], seq, seq[1:]))
+    pairs, behind, follow, before = occurs, defaultdict(list), defaultdict(list), Counter()
+    if order == 3:
+        pairs = Counter((v, w) for _, v, w in triples)
+        pairs.update({(v, w): n for (v, w), n in occurs.items() if v == "<start>"})
+    for (u, v, w), n in triples.items():
+        behind[u, v].append(n)
     for (v, w), n in pairs.items():
         follow[v].append(n)
         before[w] += 1
@@ -37,11 +43,14 @@ def slow_model(texts):
         d = [min(max(x, 0), k) for k, x in enumerate(d, 1)]
         return lambda c: d[min(c, 3) - 1] if c else 0.0
 
-    dp, dw = cuts(pairs.values()), cuts(before.values())
+    dt, dp, dw = cuts(triples.values()), cuts(pairs.values()), cuts(before.values())
     types = sum(before.values())
     left = sum(dw(c) for c in before.values()) / types if types else 1.0
 
-    def p(w, v):
+    def p(w, v, u=None):
+        if u is not None and order == 3 and behind[u, v]:
+            total = sum(behind[u, v])
+            return max(triples[u, v, w] - dt(triples[u, v, w]), 0) / total + sum(map(dt, behind[u, v])) / total * p(w, v)
         one = max(before[w] - dw(before[w]), 0) / max(1, types) + left / (len(tokens) + 1)
         if not follow[v]:
             return one
@@ -55,7 +64,7 @@ def slow_scores(text, p, tokens):
     seq = low(text) + [END]
     n, v = sum(tokens.values()), len(tokens)
     return (len(seq), sum(tokens[w] > 0 for w in seq), sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in seq),
-            sum(math.log10(p(w, u)) for u, w in zip(["<start>", *seq], seq)))
+            sum(math.log10(p(*x)) for x in zip(seq, ["<start>", *seq], [None, "<start>", *seq])))
 
 
 def corpus(seed, n=80):
@@ -64,12 +73,15 @@ def corpus(seed, n=80):
     return [(i, rng.choice(["\n", " ", "\t "]).join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 50])))) for i in range(n)]
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("shard_bytes", [16 << 20, 700])
-def test_against_definition(documents, monkeypatch, shard_bytes):
+def test_against_definition(documents, monkeypatch, shard_bytes, order):
     monkeypatch.setattr(kn, "SHARD_BYTES", shard_bytes)
     rows = corpus(1)
-    p, tokens = slow_model([t for _, t in rows])
-    model = kn.train(documents(rows))
+    p, tokens = slow_model([t for _, t in rows], order)
+    model = kn.train(documents(rows), order)
+    if order == 3 and shard_bytes == 700:  # some pair of words is dealt over all shards
+        assert len(model.words.frequent) > 2
     assert (model.words.tokens, model.words.v) == (sum(tokens.values()), len(tokens))
     assert (model.shards > 4) == (shard_bytes == 700)
     asked = rows + [(1000, "never seen words the"), (1001, None), (1002, ""), (None, "the the"), (3, rows[3][1]), (3, rows[3][1]),
@@ -85,8 +97,8 @@ def test_against_definition(documents, monkeypatch, shard_bytes):
 
 def test_probabilities_of_a_context_sum_to_one():
     p, tokens = slow_model([t for _, t in corpus(4)])
-    for v in ("<start>", "the", "w3", "unseen"):
-        assert sum(p(w, v) for w in tokens) + p("not there", v) == pytest.approx(1)
+    for u, v in ((None, "<start>"), ("<start>", "the"), ("of", "the"), ("the", "w3"), ("the", "unseen"), ("unseen", "the")):
+        assert sum(p(w, v, u) for w in tokens) + p("not there", v, u) == pytest.approx(1)
 
 
 def test_query(spark):
