@@ -17,8 +17,7 @@ has no word before the start mark and stays at p(w | v). The discounts of a leve
    the shard that owns that range of hashes, which merges them. The shards in order are one sorted
    hash array; a word's number is its place in it.
 2. Word triples (order three): each task counts (two words, next word) and sends sorted runs to shards,
-   which merge them into a sorted array of contexts with their sums and a sorted array of (place of the
-   context, next word) with counts. A shard owns whole contexts; those of two very frequent words are
+   which merge them into sorted arrays: contexts, next words, counts. A shard owns whole contexts; those of two very frequent words are
    dealt over all shards, and their partial sums are merged by the next stage. Shards send on how many
    contexts each pair (last word, next word) has.
 3. Word pairs: each task counts pairs of numbers (order two), or stage 2 has counted them, and sorted
@@ -352,15 +351,9 @@ def keep_triples(folder: str, words: Words, shards: int):
             context, word, counts = context[~opens], word[~opens], counts[~opens]
             if not len(context):
                 continue
-            new = firsts(context)
-            first = np.flatnonzero(new)
-            ones, twos = counts == 1, counts == 2
-            columns = (counts, ones, twos, ~(ones | twos))
-            sums = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in columns], axis=1)
-            put(folder, f"context-{shard}", context[first])
-            put(folder, f"context-sums-{shard}", sums.astype(U32))
-            put(folder, f"triple-{shard}", ((np.cumsum(new) - 1).astype(U64) << U64(32)) | word)
-            put(folder, f"triple-count-{shard}", counts.astype(U32))
+            first = np.flatnonzero(firsts(context))
+            sums = sums_by(counts, first)
+            put_rows(folder, f"triples-{shard}", context, word, counts, sums)
             yield sent(np.full(4, -3), np.arange(4, dtype=U64), np.array(tallied(counts), dtype=U32))
             far = triple_shard(context[first], word[first], shards, of_triples)[1]
             owner = sums_shard(context[first][far], shards)
@@ -371,6 +364,87 @@ def keep_triples(folder: str, words: Words, shards: int):
     return run
 
 
+# What one shard of counted rows holds in one file, widest numbers first, so that all are aligned.
+PARTS = {"context": "u8", "big_count": "u8", "sums": "u8", "start": "u4", "word": "u4", "big": "u4", "wide": "u4", "count": "u1"}
+BIG, WIDE = 255, 64
+
+
+def put_rows(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray, sums: np.ndarray | None = None) -> None:
+    """Rows sorted by context and word: contexts once, with the place of their first row; words; counts in a byte.
+
+    Counts from ``BIG`` on stand in full beside them, and so do the sums of contexts of ``WIDE`` rows or more.
+    """
+    first, big = np.flatnonzero(firsts(context)), np.flatnonzero(counts >= BIG)
+    start = np.append(first, len(word))
+    wide = np.flatnonzero(np.diff(start) >= WIDE) if sums is not None else first[:0]
+    parts = {"context": context[first], "big_count": counts[big], "sums": sums[wide] if sums is not None else wide, "start": start,
+             "word": word, "big": big, "wide": wide, "count": np.minimum(counts, BIG)}
+    header = np.array([parts[p].size for p in PARTS], dtype=U64)
+    whole = b"".join([header.tobytes(), *[parts[p].astype(kind).tobytes() for p, kind in PARTS.items()]])
+    put(folder, name, np.frombuffer(whole, dtype=np.uint8))
+
+
+@Remembered
+def rows_of(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    raw = np.asarray(mapped(folder, name, np.dtype("u1")))
+    if not len(raw):
+        return None
+    at, out = 8 * len(PARTS), {}
+    for (part, kind), n in zip(PARTS.items(), raw[:at].view(U64)):
+        size = int(n) * np.dtype(kind).itemsize
+        out[part] = raw[at:at + size].view(kind)
+        at += size
+    return out
+
+
+def row_counts(rows: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    counts = rows["count"][at].astype(np.int64)
+    over = np.flatnonzero(counts == BIG)
+    if len(over):
+        counts[over] = rows["big_count"][np.searchsorted(rows["big"], at[over])]
+    return counts
+
+
+def looked_up(rows: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each context is, whether it is there, and the counts of the rows asked for."""
+    at = np.minimum(np.searchsorted(rows["context"], context), len(rows["context"]) - 1)
+    held = np.asarray(rows["context"][at] == context)
+    low = np.where(held, rows["start"][at], 0).astype(np.int64)
+    end = np.where(held, rows["start"][at + 1], 0).astype(np.int64)
+    high, words = end.copy(), rows["word"]
+    while len(going := np.flatnonzero(low < high)):
+        middle = (low[going] + high[going]) >> 1
+        less = words[middle] < word[going]
+        low[going] = np.where(less, middle + 1, low[going])
+        high[going] = np.where(less, high[going], middle)
+    hit = np.flatnonzero(low < end)
+    hit = hit[words[low[hit]] == word[hit]]
+    counts = np.zeros(len(context), dtype=np.int64)
+    counts[hit] = row_counts(rows, low[hit])
+    return at, held, counts
+
+
+def context_sums(rows: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Total, ones, twos and more of contexts, whose places are given in order."""
+    new = firsts(at)
+    places = at[new]
+    low, size = rows["start"][places].astype(np.int64), np.diff(np.stack([rows["start"][places], rows["start"][places + 1]]).astype(np.int64), axis=0)[0]
+    out, wide = np.zeros((len(places), 4)), size >= WIDE
+    if wide.any():
+        out[wide] = rows["sums"].reshape(-1, 4)[np.searchsorted(rows["wide"], places[wide])]
+    low, size = low[~wide], size[~wide]
+    if len(low):
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        counts = row_counts(rows, np.repeat(low - begin, size) + np.arange(size.sum()))
+        out[~wide] = sums_by(counts, begin)
+    return out[np.cumsum(new) - 1]
+
+
+def sums_by(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    ones, twos = counts == 1, counts == 2
+    return np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (counts, ones, twos, ~(ones | twos))], axis=1)
+
+
 def tallied(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4."""
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
@@ -398,14 +472,11 @@ def keep_pairs(folder: str, words: Words, shards: int):
                 put(folder, f"far-{shard}", pairs)
                 put(folder, f"far-sum-{shard}", counts.astype(U64))
                 continue
-            put(folder, f"pair-{shard}", pairs)
-            put(folder, f"pair-count-{shard}", counts.astype(U32))
-            context = pairs >> U64(32)
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            ones, twos, total = counts == 1, counts == 2, [np.add.reduceat(counts, first)]
-            of_context = total + [np.add.reduceat(x, first, dtype=np.int64) for x in (ones, twos, ~(ones | twos))]
-            yield sums(context[first], *of_context, np.zeros(len(first), dtype=np.int64))
-            word, before = np.unique(pairs & U64(START_NUMBER), return_counts=True)
+            context, word = pairs >> U64(32), pairs & U64(START_NUMBER)
+            put_rows(folder, f"pairs-{shard}", context, word, counts)
+            first = np.flatnonzero(firsts(context))
+            yield sums(context[first], *sums_by(counts, first).T, np.zeros(len(first), dtype=np.int64))
+            word, before = np.unique(word, return_counts=True)
             nothing = np.zeros(len(word), dtype=np.int64)
             yield sums(word, nothing, nothing, nothing, nothing, before)
             yield sent(np.array([-2]), np.array([0], dtype=U32), np.array([[*tallied(counts), 0]], dtype=U32))
@@ -465,11 +536,9 @@ class Model:
         out = np.zeros(len(pairs))
         for s in range(self.shards):
             mine = order[cuts[s]:cuts[s + 1]]
-            known = arrays(self.words.folder, f"pair-{s}", "u8") if len(mine) else ()
-            if len(known):
-                at = np.minimum(np.searchsorted(known, pairs[mine]), len(known) - 1)
-                found = arrays(self.words.folder, f"pair-count-{s}", "u4")[at]
-                out[mine] = np.where(known[at] == pairs[mine], found, 0)
+            rows = rows_of(self.words.folder, f"pairs-{s}") if len(mine) else None
+            if rows:
+                out[mine] = looked_up(rows, pairs[mine] >> U64(32), pairs[mine] & U64(START_NUMBER))[2]
         return out
 
     def triple_counts(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -479,16 +548,11 @@ class Model:
         folder = self.words.folder
         for s in np.unique(shard):
             mine = np.flatnonzero(shard == s)
-            known = arrays(folder, f"context-{s}", "u8")
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, context[mine]), len(known) - 1)
-            held = known[at] == context[mine]
-            mine, at = mine[held], at[held]
-            sums[mine] = arrays(folder, f"context-sums-{s}", "u4").reshape(-1, 4)[at]
-            triples, keys = arrays(folder, f"triple-{s}", "u8"), (at.astype(U64) << U64(32)) | word[mine]
-            at = np.minimum(np.searchsorted(triples, keys), len(triples) - 1)
-            counts[mine] = np.where(triples[at] == keys, arrays(folder, f"triple-count-{s}", "u4")[at], 0)
+            rows = rows_of(folder, f"triples-{s}")
+            if rows:
+                at, held, counts[mine] = looked_up(rows, context[mine], word[mine])
+                mine = mine[held & ~spread[mine]]
+                sums[mine] = context_sums(rows, at[held & ~spread[shard == s]])
         far = np.flatnonzero(spread)
         owner = sums_shard(context[far], self.shards)
         for s in np.unique(owner):

@@ -131,3 +131,24 @@ def test_arrays_are_mapped(tmp_path):
     got = array_store.mapped(f"file://{tmp_path}/a", "x", "i8")
     assert isinstance(got, np.memmap) and got.tolist() == [0, 1, 2, 3, 4]
     assert len(array_store.mapped(f"{tmp_path}/a", "none", "i8")) == 0
+
+
+def test_rows_keep_large_counts_and_wide_contexts(tmp_path):
+    rng = random.Random(9)
+    counts = {(c, w): rng.choice([1, 1, 2, 3, 254, 255, 256, 5_000_000_000])
+              for c in range(0, 300, 3) for w in rng.sample(range(500), rng.choice([1, 2, 63, 64, 200]))}
+    keys = sorted(counts)
+    context, word = (np.array(x, dtype=np.uint64) for x in zip(*keys))
+    n = np.array([counts[k] for k in keys])
+    kn.put_rows(f"file://{tmp_path}", "x", context, word, n, kn.sums_by(n, np.flatnonzero(kn.firsts(context))))
+    rows = kn.rows_of(f"file://{tmp_path}", "x")
+    asked = sorted({*keys, *[(rng.randrange(310), rng.randrange(510)) for _ in range(2000)]})
+    c, w = (np.array(x, dtype=np.uint64) for x in zip(*asked))
+    at, held, found = kn.looked_up(rows, c, w)
+    assert found.tolist() == [counts.get(k, 0) for k in asked] and held.tolist() == [k[0] < 300 and k[0] % 3 == 0 for k in asked]
+    of = defaultdict(list)
+    for (k, _), x in counts.items():
+        of[k].append(x)
+    want = [[sum(v), v.count(1), v.count(2), sum(x > 2 for x in v)] for v in (of[k] for (k, _), h in zip(asked, held) if h)]
+    assert kn.context_sums(rows, at[held]).tolist() == want
+    assert kn.rows_of(f"file://{tmp_path}", "none") is None
