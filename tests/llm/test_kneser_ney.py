@@ -152,3 +152,13 @@ def test_rows_keep_large_counts_and_wide_contexts(tmp_path):
     want = [[sum(v), v.count(1), v.count(2), sum(x > 2 for x in v)] for v in (of[k] for (k, _), h in zip(asked, held) if h)]
     assert kn.context_sums(rows, at[held]).tolist() == want
     assert kn.rows_of(f"file://{tmp_path}", "none") is None
+
+
+@pytest.mark.parametrize("kind", ["u8", "u4", "i8"])
+def test_packed_arrays_come_back(kind):
+    rng = np.random.default_rng(2)
+    for rows, width in ((0, 1), (1, 1), (1000, 1), (1000, 5)):
+        values = rng.integers(0, 1 << 31, (rows, width)).astype(kind)
+        assert (kn.unpacked(kn.packed(values), kind).reshape(-1, width) == values).all()
+    keys = np.sort(rng.integers(0, 1 << 31, 5000)).astype(kind)
+    assert (kn.unpacked(kn.packed(keys), kind) == keys).all() and len(kn.packed(keys)) < keys.nbytes / 1.3
