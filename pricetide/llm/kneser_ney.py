@@ -41,7 +41,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, groupby
+from itertools import count, groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -58,7 +58,8 @@ START_NUMBER = 0xFFFFFFFF
 NONE = 0xFFFFFFFE  # stands before the start mark, and for an unseen word
 ORDER = 3
 RUN = 2_000_000
-LOOKUP = 500_000  # tokens that are looked up together
+LOOKUP = 400_000  # tokens that are looked up together
+KEPT = 250_000  # words whose numbers a task keeps
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 20_000
 FREQUENT = 20  # a context with over 1 / (FREQUENT * shards) of all tokens is dealt over all shards
@@ -230,17 +231,40 @@ def arrays(folder: str, name: str, dtype: str) -> np.ndarray:
     return mapped(folder, name, np.dtype(dtype))
 
 
+class Numbering:
+    """Numbers of words, kept from run to run of a task until there are ``KEPT`` of them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.local: dict[bytes, int] = defaultdict(count().__next__)
+        self.local[START]
+        self.numbers = np.array([START_NUMBER], dtype=np.int64)
+
+    def of(self, tokens: list[bytes], words: Words) -> np.ndarray:
+        if len(self.local) > KEPT:
+            self.clear()
+        places = np.fromiter(map(self.local.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.local) > len(self.numbers):
+            fresh = list(islice(self.local, len(self.numbers), None))
+            found = words.numbers(np.fromiter(map(hash_of, fresh), U64, len(fresh)))
+            self.numbers = np.concatenate((self.numbers, found))
+        return self.numbers[places]
+
+
+@Remembered
+def numbering(folder: str) -> Numbering:
+    return Numbering()
+
+
 def numbered(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens, each text opened by the start mark and closed by the end token; start places."""
-    local: dict[bytes, int] = defaultdict(count().__next__)
-    parts, sizes = [], []
+    tokens, starts = [], []
     for text in texts:
-        tokens = words_of(text)
-        parts.append(np.fromiter(map(local.__getitem__, (START, *tokens, END)), np.int64, len(tokens) + 2))
-        sizes.append(len(tokens) + 2)
-    numbers = words.numbers(np.fromiter(map(hash_of, local), U64, len(local)))
-    numbers[local[START]] = START_NUMBER
-    return numbers[np.concatenate(parts)], np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+        starts.append(len(tokens))
+        tokens += (START, *words_of(text), END)
+    return numbering(words.folder).of(tokens, words), np.array(starts, dtype=np.int64)
 
 
 def in_runs(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -383,19 +407,22 @@ def keep_triples(folder: str, words: Words, shards: int):
 
 
 # What one shard of counted rows holds in one file, widest numbers first, so that all are aligned.
-PARTS = {"context": "u8", "big_count": "u8", "sums": "u8", "start": "u4", "word": "u4", "big": "u4", "wide": "u4", "count": "u1"}
+PARTS = {"big_count": "u8", "sums": "u8", "outer": "u4", "outer_start": "u4", "inner": "u4", "start": "u4", "word": "u4", "big": "u4", "wide": "u4", "count": "u1"}
 BIG, WIDE = 255, 64
 
 
 def put_rows(folder: str, name: str, context: np.ndarray, word: np.ndarray, counts: np.ndarray, sums: np.ndarray | None = None) -> None:
-    """Rows sorted by context and word: contexts once, with the place of their first row; words; counts in a byte.
+    """Rows sorted by context and word: contexts once, as upper halves with the place of the first lower half and lower
+    halves with the place of the first row; words; counts in a byte.
 
     Counts from ``BIG`` on stand in full beside them, and so do the sums of contexts of ``WIDE`` rows or more.
     """
     first, big = np.flatnonzero(firsts(context)), np.flatnonzero(counts >= BIG)
     start = np.append(first, len(word))
     wide = np.flatnonzero(np.diff(start) >= WIDE) if sums is not None else first[:0]
-    parts = {"context": context[first], "big_count": counts[big], "sums": sums[wide] if sums is not None else wide, "start": start,
+    outer, inner = context[first] >> U64(32), context[first] & U64(START_NUMBER)
+    opening = np.flatnonzero(firsts(outer))
+    parts = {"outer": outer[opening], "outer_start": np.append(opening, len(outer)), "inner": inner, "big_count": counts[big], "sums": sums[wide] if sums is not None else wide, "start": start,
              "word": word, "big": big, "wide": wide, "count": np.minimum(counts, BIG)}
     header = np.array([parts[p].size for p in PARTS], dtype=U64)
     whole = b"".join([header.tobytes(), *[parts[p].astype(kind).tobytes() for p, kind in PARTS.items()]])
@@ -423,23 +450,34 @@ def row_counts(rows: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     return counts
 
 
-def looked_up(rows: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each context is, whether it is there, and the counts of the rows asked for."""
-    at = np.minimum(np.searchsorted(rows["context"], context), len(rows["context"]) - 1)
-    held = np.asarray(rows["context"][at] == context)
-    low = np.where(held, rows["start"][at], 0).astype(np.int64)
-    end = np.where(held, rows["start"][at + 1], 0).astype(np.int64)
-    high, words = end.copy(), rows["word"]
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in their sorted stretches, and whether they are there."""
+    low, end, high = low.copy(), high, high.copy()
     while len(going := np.flatnonzero(low < high)):
         middle = (low[going] + high[going]) >> 1
-        less = words[middle] < word[going]
+        less = values[middle] < asked[going]
         low[going] = np.where(less, middle + 1, low[going])
         high[going] = np.where(less, high[going], middle)
-    hit = np.flatnonzero(low < end)
-    hit = hit[words[low[hit]] == word[hit]]
-    counts = np.zeros(len(context), dtype=np.int64)
+    held = low < end
+    held[held] = values[low[held]] == asked[held]
+    return low, held
+
+
+def looked_up(rows: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each context is, whether it is there, and the counts of the rows asked for, which come sorted."""
+    new = firsts(context)
+    which, context = np.cumsum(new) - 1, context[new]
+    outer = (context >> U64(32)).astype(U32)
+    at = np.minimum(np.searchsorted(rows["outer"], outer), len(rows["outer"]) - 1)
+    known = rows["outer"][at] == outer
+    low, high = (np.where(known, rows["outer_start"][at + k], 0).astype(np.int64) for k in (0, 1))
+    at, held = within(rows["inner"], low, high, (context & U64(START_NUMBER)).astype(U32))
+    at = np.where(held, at, 0)
+    low, high = (np.where(held, rows["start"][at + k], 0).astype(np.int64)[which] for k in (0, 1))
+    low, hit = within(rows["word"], low, high, word.astype(U32))
+    counts = np.zeros(len(word), dtype=np.int64)
     counts[hit] = row_counts(rows, low[hit])
-    return at, held, counts
+    return at[which], held[which], counts
 
 
 def context_sums(rows: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -583,15 +621,19 @@ class Model:
                     sums[mine, k] = np.where(known[at] == context[mine], found, 0)
         return counts, sums
 
-    def raised(self, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probabilities of order three over those of order two, for tokens behind two known ones of their text."""
+    def raised(self, numbers: np.ndarray, p: np.ndarray, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Probabilities of order three over those of order two, for tokens behind two known ones of their text.
+
+        ``pair`` and ``place`` number the pairs and the words of ``numbers``; known ones in their order.
+        """
         u, v, w = numbers[:-2], numbers[1:-1], numbers[2:]
         at = np.flatnonzero((u >= 0) & (v >= 0) & (v != START_NUMBER) & (w != START_NUMBER))
         if not len(at):
             return p
         context = (u[at].astype(U64) << U64(32)) | v[at].astype(U64)
         word = np.where(w[at] < 0, NONE, w[at]).astype(U64)
-        order = np.lexsort((word, context))
+        # unseen words have the last place and the largest number but the start mark's
+        order = np.argsort(pair[at] * np.int64(place.max() + 1) + place[at + 2])
         new = firsts(context[order], word[order])
         which = np.empty(len(at), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
@@ -625,7 +667,7 @@ class Model:
         found[real] = self.pair_counts(pairs[real])
         p = self.discounted(found, self.of_pairs) / np.maximum(total[c], 1) + back[c] * single[w]
         base = np.log10((counts[word] + 1) / (words.tokens + words.v + 1))
-        p = p[where] if self.of_triples is None else self.raised(numbers, p[where])
+        p = p[where] if self.of_triples is None else self.raised(numbers, p[where], where, place)
         return np.log10(p), base, counts[word] > 0
 
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
