@@ -153,8 +153,8 @@ class QuoteJob:
                        groups=some(self.groups), counts=some(self.counts))
 
     def store_counts(self, path: str) -> None:
-        """Write the price counts as a table, for ``with_counts``."""
-        self.counted.write.mode("overwrite").parquet(path)
+        """Write the price counts as a new table, for ``with_counts``; a folder that is there may have readers and is left alone."""
+        self.counted.write.mode("error").parquet(path)
 
     def with_counts(self, path: str) -> QuoteJob:
         """The same job on stored counts: listings are read for ``rows`` only."""
